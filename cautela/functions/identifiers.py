@@ -29,7 +29,7 @@ def name_uuid(name: Column) -> Column:
 
 def report_id(submitted_at: Column, *identity: Column) -> Column:
     """``COM-<time>-<6 hex>``; the suffix hashes what was sent, so a replayed report keeps its id."""
-    parts = F.concat_ws("\x1f", submitted_at.cast("string"), *identity)
+    parts = F.concat_ws("\x1f", F.unix_micros(submitted_at).cast("string"), *identity)
     return F.concat(
         F.lit("COM-"),
         F.date_format(F.to_utc_timestamp(submitted_at, F.current_timezone()), "yyyyMMddHHmmss"),

@@ -6,16 +6,25 @@ table, so every pattern of this package spells its classes out.
 
 from __future__ import annotations
 
-# Characters for which str.isspace() is true.
-SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+# Code points for which str.isspace() is true.
+_SPACE_POINTS = (
+    *range(0x09, 0x0E),
+    *range(0x1C, 0x21),
+    0x85,
+    0xA0,
+    0x1680,
+    *range(0x2000, 0x200B),
+    0x2028,
+    0x2029,
+    0x202F,
+    0x205F,
+    0x3000,
 )
+SPACE_CHARS = "".join(map(chr, _SPACE_POINTS))
 # The Unicode White_Space property: as above without the four information separators.
-WHITE_SPACE_CHARS = "".join(c for c in SPACE_CHARS if c not in "\x1c\x1d\x1e\x1f")
+WHITE_SPACE_CHARS = "".join(chr(i) for i in _SPACE_POINTS if not 0x1C <= i <= 0x1F)
 
-SPACE_SET = r"\t\n\x0B\f\r\x1C-\x20\x85\xA0  -     　"
+SPACE_SET = r"\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD_SET = r"\p{L}\p{N}_"
 
 SPACE = f"[{SPACE_SET}]"

@@ -19,35 +19,31 @@ from cautela.functions.regexes import SPACE, SPACE_CHARS, WHITE_SPACE_CHARS
 # Blocks of starters that are their own compatibility form and never join the character before
 # them (tests check every code point).
 _STABLE_RANGES = (
-    ("\x00", "\x7f"),
-    ("\xc0", "ı"),
-    ("Ĵ", "ľ"),
-    ("Ł", "ň"),
-    ("Ŋ", "ž"),
-    ("Ѐ", "҂"),
-    ("Ҋ", "ԯ"),
-    ("‒", "―"),
-    ("‘", "‟"),
-    ("†", "•"),
-    ("€", "€"),
-    ("、", "。"),
-    ("ぁ", "ゖ"),
-    ("ァ", "ヺ"),
-    ("一", "龥"),
-    ("가", "힣"),
+    (0x0000, 0x007F),  # ASCII
+    (0x00C0, 0x0131),  # Latin, without the compatibility letters in between
+    (0x0134, 0x013E),
+    (0x0141, 0x0148),
+    (0x014A, 0x017E),
+    (0x0400, 0x0482),  # Cyrillic
+    (0x048A, 0x052F),
+    (0x2012, 0x2015),  # dashes, quotes, bullet
+    (0x2018, 0x2022),
+    (0x20AC, 0x20AC),  # euro sign
+    (0x3001, 0x3002),  # CJK stops
+    (0x3041, 0x3096),  # kana
+    (0x30A1, 0x30FA),
+    (0x4E00, 0x9FA5),  # unified ideographs
+    (0xAC00, 0xD7A3),  # Hangul syllables
 )
 # Stable characters whose full case folding is not their lower case; sharp s is written out below.
-_FOLD_EXCEPTIONS = "İ"
+_FOLD_EXCEPTIONS = chr(0x130)
 # Letters of Latin-1 with an accent (lower case), and the letter left without it.
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def _char_class(ranges) -> str:
-    def one(c: str) -> str:
-        return f"\\x{{{ord(c):x}}}"
-
-    return "".join(one(a) if a == b else f"{one(a)}-{one(b)}" for a, b in ranges)
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
 _MAY_CHANGE = f"[^{_char_class(_STABLE_RANGES)}]"
@@ -57,7 +53,7 @@ _MAY_LOSE_OTHER_ACCENT = f"[^\\x00-\\x7f{_ACCENTED}ß]"
 
 def stable_characters() -> str:
     """Every character on the JVM-only path."""
-    return "".join(chr(i) for a, b in _STABLE_RANGES for i in range(ord(a), ord(b) + 1))
+    return "".join(chr(i) for a, b in _STABLE_RANGES for i in range(a, b + 1))
 
 
 def _nfkc():
