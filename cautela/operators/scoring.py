@@ -55,18 +55,15 @@ def all_rules(rules: tuple[TextRule, ...] = TEXT_RULES) -> list[Rule]:
 def with_matches(
     df: DataFrame, text: str = "normalised_text", rules: tuple[TextRule, ...] = TEXT_RULES
 ) -> DataFrame:
-    """Add the URLs and, per rule, the first match (null when the rule does not fire).
+    """Add the URLs and, per rule, the first match (empty or null when the rule does not fire).
 
     One column per rule: every pattern runs once per row, and what nobody reads is pruned.
     """
     found = extract_urls(df, text)
     columns = {}
     for i, rule in enumerate(all_rules(rules)):
-        if isinstance(rule, TextRule):
-            match = F.nullif(rule.first_match(F.col(text)), F.lit(""))
-        else:
-            match = rule.first_match(F.col("extracted_urls"))
-        columns[_match_name(i)] = match
+        searched = F.col(text) if isinstance(rule, TextRule) else F.col("extracted_urls")
+        columns[_match_name(i)] = rule.first_match(searched)
     return found.withColumns(columns)
 
 
@@ -86,8 +83,9 @@ def fired(rules: tuple[TextRule, ...] = TEXT_RULES) -> list[tuple[Rule, Column,
     result, earlier = [], {}
     for i, rule in enumerate(all_rules(rules)):
         match = F.col(_match_name(i))
-        counts = reduce(lambda a, b: a & b, [m.isNull() for m in earlier.get(rule.code, [])], match.isNotNull())
-        earlier.setdefault(rule.code, []).append(match)
+        hit = F.coalesce(F.octet_length(match) > 0, F.lit(False))
+        counts = reduce(lambda a, b: a & ~b, earlier.get(rule.code, []), hit)
+        earlier.setdefault(rule.code, []).append(hit)
         result.append((rule, counts, match))
     return result
 
