@@ -200,11 +200,12 @@ def required_assets(sources: DataFrame, required: Sequence[str]) -> DataFrame:
 
     The catalogue is filtered to the required urns first: the join has as many rows as the list.
     """
-    spark = sources.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(required)), "ordinal int, urn string")
-    present = sources.filter(F.col("urn").isin(*required)).dropDuplicates(["urn"])
+    wanted = sources.sparkSession.createDataFrame(list(enumerate(required)), "ordinal int, urn string")
     rest = [c for c in sources.columns if c != "urn"]
-    marked = present.select("urn", F.lit(True).alias("found"), *rest)
+    # Of several entries for one urn a fixed one is taken: the last by content.
+    entry = F.struct(*rest)
+    present = sources.filter(F.col("urn").isin(*required)).groupBy("urn").agg(F.max_by(entry, F.to_json(entry)).alias("s"))
+    marked = present.select("urn", F.lit(True).alias("found"), "s.*")
     return wanted.join(marked, "urn", "left").select(
         "ordinal", "urn", F.coalesce("found", F.lit(False)).alias("found"), *rest
     )
