@@ -69,17 +69,20 @@ def assess_messages(
     )
 
 
+def _exploded(df: DataFrame, array: str, pos: str, keep: tuple[str, ...]) -> DataFrame:
+    # The outer form on purpose: for the inner one the optimizer adds a filter on the array below
+    # the projections that build it, and every pattern would run again for that filter.
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, "e"))
+    return rows.filter(F.col(pos).isNotNull()).select(*keep, pos, "e.*")
+
+
 def signal_rows(assessments: DataFrame, *keep: str) -> DataFrame:
     """Long form: one row per message and signal, numbered in their order."""
-    return assessments.select(*keep, F.posexplode("warning_signs").alias("signal_pos", "s")).select(
-        *keep, "signal_pos", "s.*"
-    )
+    return _exploded(assessments, "warning_signs", "signal_pos", keep)
 
 
 def url_rows(with_urls: DataFrame, *keep: str) -> DataFrame:
-    return with_urls.select(*keep, F.posexplode("extracted_urls").alias("url_pos", "u")).select(
-        *keep, "url_pos", "u.*"
-    )
+    return _exploded(with_urls, "extracted_urls", "url_pos", keep)
 
 
 def level_counts(assessments: DataFrame) -> DataFrame:

@@ -39,9 +39,15 @@ def read_existing(spark: SparkSession, paths: Sequence[str], multiline: bool = T
     return found
 
 
-def read_ham_spam(spark: SparkSession, path: str) -> DataFrame:
-    """Raw tab-separated corpus: label word and text, no header, quotes are plain characters."""
-    return spark.read.schema(HAM_SPAM_TSV).option("sep", "\t").option("quote", "").csv(path)
+def read_ham_spam(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
+    """Raw tab-separated corpus: label word and text, no header.
+
+    With ``quoted`` a text in double quotes may hold tabs and line breaks; without, quotes are plain
+    characters and large files are split over tasks.
+    """
+    reader = spark.read.schema(HAM_SPAM_TSV).option("sep", "\t")
+    reader = reader.option("escape", '"').option("multiLine", True) if quoted else reader.option("quote", "")
+    return reader.csv(path)
 
 
 def label_number(raw_label: Column) -> Column:
