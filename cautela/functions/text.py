@@ -46,6 +46,7 @@ def _char_class(ranges) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
+_BEYOND_LATIN = f"[^{_char_class(_STABLE_RANGES[:2])}]|[{_FOLD_EXCEPTIONS}]"
 _MAY_CHANGE = f"[^{_char_class(_STABLE_RANGES)}]"
 _MAY_FOLD_OTHERWISE = f"[^{_char_class(_STABLE_RANGES)}]|[{_FOLD_EXCEPTIONS}]"
 _MAY_LOSE_OTHER_ACCENT = f"[^\\x00-\\x7f{_ACCENTED}ß]"
@@ -109,7 +110,8 @@ def is_ascii(text: Column) -> Column:
 
 
 def _needs(text: Column, pattern: str) -> Column:
-    return ~is_ascii(text) & text.rlike(pattern)
+    # Cheapest test first: bytes against characters, then the Latin blocks alone, then all of them.
+    return ~is_ascii(text) & text.rlike(_BEYOND_LATIN) & text.rlike(pattern)
 
 
 def squeeze(text: Column) -> Column:
@@ -142,7 +144,7 @@ def dedupe_key(text: Column) -> Column:
 
 def without_accents(lowered: Column) -> Column:
     """Letters without their accents, for text that is in lower case already."""
-    hard = F.when(_needs(lowered, _MAY_LOSE_OTHER_ACCENT), lowered)
+    hard = F.when(~is_ascii(lowered) & lowered.rlike(_MAY_LOSE_OTHER_ACCENT), lowered)
     return F.coalesce(_drop_accents()(hard), F.translate(lowered, _ACCENTED, _PLAIN))
 
 

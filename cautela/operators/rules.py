@@ -251,6 +251,12 @@ LINK_RULES: tuple[LinkRule, ...] = (
 )
 
 
+def any_text_rule(text: Column, rules: tuple[TextRule, ...] = TEXT_RULES) -> Column:
+    """Whether at least one text rule matches: one search for all alternatives at once."""
+    alternatives = [a for r in rules for a in r.alternatives]
+    return text.rlike(whole_words("|".join(alternatives))) if alternatives else F.lit(False)
+
+
 def rule_catalogue(spark: SparkSession, rules: tuple[TextRule, ...] = TEXT_RULES) -> DataFrame:
     """What a reader may know about each text rule; the patterns stay private."""
     return spark.createDataFrame(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cautela.functions.text import excerpt, fingerprint
 from cautela.functions.urls import extract_urls
-from cautela.operators.rules import LINK_RULES, TEXT_RULES, LinkRule, Rule, TextRule
+from cautela.operators.rules import LINK_RULES, TEXT_RULES, LinkRule, Rule, TextRule, any_text_rule
 
 ANALYSIS_VERSION = "hybrid-0.2.0"
 DISCLAIMER = (
@@ -57,14 +57,17 @@ def with_matches(
 ) -> DataFrame:
     """Add the URLs and, per rule, the first match (empty or null when the rule does not fire).
 
-    One column per rule: every pattern runs once per row, and what nobody reads is pruned.
+    One column per rule: every pattern runs once per row, and what nobody reads is pruned. Most
+    messages match nothing, which a single search for all alternatives finds out first.
     """
-    found = extract_urls(df, text)
+    found = extract_urls(df, text).withColumn("_any_rule", any_text_rule(F.col(text), rules))
     columns = {}
     for i, rule in enumerate(all_rules(rules)):
-        searched = F.col(text) if isinstance(rule, TextRule) else F.col("extracted_urls")
-        columns[_match_name(i)] = rule.first_match(searched)
-    return found.withColumns(columns)
+        if isinstance(rule, TextRule):
+            columns[_match_name(i)] = F.when(F.col("_any_rule"), rule.first_match(F.col(text)))
+        else:
+            columns[_match_name(i)] = rule.first_match(F.col("extracted_urls"))
+    return found.withColumns(columns).drop("_any_rule")
 
 
 def _match_name(i: int) -> str:

@@ -73,16 +73,21 @@ def _exploded(df: DataFrame, array: str, pos: str, keep: tuple[str, ...]) -> Dat
     # The outer form on purpose: for the inner one the optimizer adds a filter on the array below
     # the projections that build it, and every pattern would run again for that filter.
     rows = df.select(*keep, F.posexplode_outer(array).alias(pos, "e"))
-    return rows.filter(F.col(pos).isNotNull()).select(*keep, pos, "e.*")
+    return rows.filter(F.col(pos).isNotNull())
 
 
 def signal_rows(assessments: DataFrame, *keep: str) -> DataFrame:
     """Long form: one row per message and signal, numbered in their order."""
-    return _exploded(assessments, "warning_signs", "signal_pos", keep)
+    return _exploded(assessments, "warning_signs", "signal_pos", keep).select(*keep, "signal_pos", "e.*")
 
 
 def url_rows(with_urls: DataFrame, *keep: str) -> DataFrame:
-    return _exploded(with_urls, "extracted_urls", "url_pos", keep)
+    return _exploded(with_urls, "extracted_urls", "url_pos", keep).select(*keep, "url_pos", "e.*")
+
+
+def action_rows(assessments: DataFrame, *keep: str) -> DataFrame:
+    rows = _exploded(assessments, "recommended_actions", "action_pos", keep)
+    return rows.withColumnRenamed("e", "action")
 
 
 def level_counts(assessments: DataFrame) -> DataFrame:

@@ -133,11 +133,7 @@ def assessment_summary(spark, sf):
 @query
 def recommended_actions(spark, sf):
     """A8."""
-    return (
-        _assessed(spark, sf)
-        .select("message_id", F.posexplode("recommended_actions").alias("action_pos", "action"))
-        .select("message_id", *_big("action_pos"), "action")
-    )
+    return assess.action_rows(_assessed(spark, sf), "message_id").select("message_id", *_big("action_pos"), "action")
 
 
 def _full(messages: DataFrame, **options) -> DataFrame:
@@ -433,11 +429,7 @@ def word_tfidf(spark, sf):
 def char_grams(spark, sf):
     """M2: character windows of all benchmark items and order messages, counted."""
     items = views.read(spark, sf, "benchmark").select("text").unionByName(views.messages(spark, sf).select("text"))
-    return (
-        items.select(F.explode(features.char_grams(F.col("text"))).alias("gram"))
-        .groupBy("gram")
-        .agg(F.count("*").alias("occurrences"))
-    )
+    return features.char_gram_counts(items, "text")
 
 
 @query
@@ -493,12 +485,7 @@ def metric_strings(spark, sf):
 def ml_bands(spark, sf):
     """A4, A5, M7 with a probability computed from each order."""
     p = (F.col("o_orderkey") * 7919 % 10007) / F.lit(10007.0)
-    scored = views.order_messages(views.read(spark, sf, "orders")).join(
-        views.read(spark, sf, "orders").select(
-            F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("message_id"), p.alias("p")
-        ),
-        "message_id",
-    )
+    scored = views.order_messages(views.read(spark, sf, "orders"), p.alias("p"))
     rows = assess.assess_messages(scored, machine_learning=model_signal.model_assessment(F.col("p")))
     return rows.select(
         "message_id",
@@ -710,7 +697,7 @@ def _run_folder(spark):
 
 
 def _table_stream(spark, sf, table):
-    schema = views.read(spark, sf, table).schema
+    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
 
 

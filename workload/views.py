@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cautela.sources.tables import read_texts
+
 # (suspicious?, message); {n} becomes a number of the row.
 OPENERS = (
     (1, "URGENT: Your email account will be suspended. Verify now at http://verify-account.example."),
@@ -33,8 +35,12 @@ OPENERS = (
 )
 
 
+TEXT_TABLES = ("benchmark", "conversations", "documents", "orders", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    return read_texts(spark, path) if table in TEXT_TABLES else spark.read.parquet(path)
 
 
 def opener(number: Column) -> Column:
@@ -47,11 +53,12 @@ def opener_label(number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s, _ in OPENERS]), (number % len(OPENERS) + 1).cast("int"))
 
 
-def message_rows(df: DataFrame, message_id: Column, number: Column, text: Column) -> DataFrame:
+def message_rows(df: DataFrame, message_id: Column, number: Column, text: Column, *more: Column) -> DataFrame:
     return df.select(
         message_id.alias("message_id"),
         F.concat(opener(number), F.lit(" "), text).alias("text"),
         opener_label(number).alias("label"),
+        *more,
     )
 
 
@@ -61,10 +68,10 @@ def document_messages(documents: DataFrame) -> DataFrame:
     )
 
 
-def order_messages(orders: DataFrame) -> DataFrame:
+def order_messages(orders: DataFrame, *more: Column) -> DataFrame:
     key = F.col("o_orderkey")
     text = F.concat(F.lit("Ref "), key.cast("string"), F.lit(" "), F.col("o_orderpriority"))
-    return message_rows(orders, F.concat(F.lit("O"), key.cast("string")), key, text)
+    return message_rows(orders, F.concat(F.lit("O"), key.cast("string")), key, text, *more)
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
