@@ -24,8 +24,7 @@ def mask_urls(text: Column) -> Column:
 
 
 def mask_emails(text: Column) -> Column:
-    # The pattern rescans long runs of address characters; only text with an @ can match.
-    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, _EMAIL, EMAIL_MASK)).otherwise(text)
+    return F.regexp_replace(text, _EMAIL, EMAIL_MASK)
 
 
 def mask_phones_and_accounts(text: Column) -> Column:
@@ -34,9 +33,18 @@ def mask_phones_and_accounts(text: Column) -> Column:
 
 def guard_formula(text: Column) -> Column:
     """A quote before a leading sign, so a spreadsheet reads text and not a formula."""
-    return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.regexp_replace(text, r"^([=+\-@])", "'$1")
 
 
 def sanitise(text: Column) -> Column:
-    masked = mask_phones_and_accounts(mask_emails(mask_urls(text)))
-    return guard_formula(squeeze(masked))
+    """All masks in their order, then single spaces, then the formula guard.
+
+    The address pattern scans long runs of address characters again and again; text without an @
+    cannot match and skips it.
+    """
+
+    def finish(masked: Column) -> Column:
+        return guard_formula(squeeze(mask_phones_and_accounts(masked)))
+
+    no_urls = mask_urls(text)
+    return F.when(F.contains(text, F.lit("@")), finish(mask_emails(no_urls))).otherwise(finish(no_urls))

@@ -60,9 +60,14 @@ def stable_characters() -> str:
 def _nfkc():
     @F.arrow_udf(StringType())
     def nfkc(texts):
-        import pyarrow.compute as pc
+        import unicodedata
+
+        import pyarrow as pa
 
-        return pc.utf8_normalize(texts, form="NFKC")
+        # Not Arrow's own utf8_normalize: it leaves some letters decomposed.
+        return pa.array(
+            [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string()
+        )
 
     return nfkc
 

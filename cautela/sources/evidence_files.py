@@ -21,9 +21,12 @@ def read_evidence_csv(spark: SparkSession, path: str, table: str) -> tuple[DataF
         .option("columnNameOfCorruptRecord", _BAD)
         .csv(path)
     )
-    good = rows.filter(F.col(_BAD).isNull()).drop(_BAD)
-    # All columns stay in the second plan: a scan of the raw line alone would not parse the fields.
-    bad = rows.filter(F.col(_BAD).isNotNull())
+    # Whether a line fits is only known if its fields are parsed, so both filters refer to all of
+    # them: a mere count would otherwise prune every field and Spark refuses such a scan.
+    fields = [F.col(c).cast("string") for c in rows.columns if c != _BAD]
+    parsed = F.octet_length(F.concat_ws("", *fields)) >= 0
+    good = rows.filter(parsed & F.col(_BAD).isNull()).drop(_BAD)
+    bad = rows.filter(parsed & F.col(_BAD).isNotNull())
     return good, bad
 
 
