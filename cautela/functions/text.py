@@ -134,10 +134,15 @@ def strip_white_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE_CHARS))
 
 
-def normalise(text: Column) -> Column:
-    """Compatibility form, single spaces, no space at the ends."""
+def normalise(text: Column, filtered_on: bool = False) -> Column:
+    """Compatibility form, single spaces, no space at the ends.
+
+    Say ``filtered_on`` when rows are dropped by the result: filters then stay above the Arrow
+    function, where the optimizer would otherwise run it once for the filter and once for the rows.
+    """
+    nfkc = _nfkc().asNondeterministic() if filtered_on else _nfkc()
     hard = F.when(_needs(text, _MAY_CHANGE), text)
-    return squeeze(F.coalesce(_nfkc()(hard), text))
+    return squeeze(F.coalesce(nfkc(hard), text))
 
 
 def dedupe_key(text: Column) -> Column:

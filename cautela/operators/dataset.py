@@ -41,7 +41,7 @@ def validate_records(records: DataFrame, strict: bool = True) -> DataFrame:
         )
         label = F.when(label.isNull(), F.raise_error(problem)).otherwise(label).cast("int")
     checked = records.withColumns(
-        {"dedupe_key": dedupe_key(F.col("text")), "text": normalise(F.col("text")), "label": label}
+        {"dedupe_key": dedupe_key(F.col("text")), "text": normalise(F.col("text"), filtered_on=True), "label": label}
     )
     reason = (
         F.when(F.col("text").isNull(), "missing_text")
@@ -146,39 +146,39 @@ def dataset_fingerprint(dataset: DataFrame, columns: Sequence[str] = LABELLED_CO
 
 def manifest_counts(resolved: DataFrame) -> DataFrame:
     """Long form (metric, key, value): rows, per label, source and source type, plus what was removed."""
-    kept = resolved.filter(~F.col("is_conflict"))
     level = F.grouping_id("label", "source", "source_type")
-    counts = kept.groupingSets(
+    kept = ~F.col("is_conflict")
+    counts = resolved.groupingSets(
         [[], [F.col("label")], [F.col("source")], [F.col("source_type")]],
         F.col("label"),
         F.col("source"),
         F.col("source_type"),
-    ).agg(level.alias("level"), F.count("*").alias("value"))
-    metric = (
-        F.when(F.col("level") == 7, "row_count")
-        .when(F.col("level") == 3, "class_counts")
-        .when(F.col("level") == 5, "source_counts")
-        .otherwise("source_type_counts")
+    ).agg(
+        level.alias("level"),
+        F.count_if(kept).alias("rows"),
+        F.count_if("is_conflict").alias("conflicts"),
+        F.coalesce(F.sum(F.when(kept, F.col("copies") - 1)), F.lit(0)).alias("duplicates"),
     )
-    named = counts.select(
-        metric.alias("metric"),
-        F.coalesce(F.col("label").cast("string"), "source", "source_type", F.lit("")).alias("key"),
-        "value",
+    key = F.coalesce(F.col("label").cast("string"), "source", "source_type", F.lit(""))
+
+    def entry(metric: str, value: str):
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), F.col(value).alias("value"))
+
+    # The grouping id tells which columns are rolled up: 7 is the total, then one column each.
+    totals = F.array(
+        entry("row_count", "rows"),
+        entry("conflicting_texts_removed", "conflicts"),
+        entry("duplicates_removed", "duplicates"),
     )
-    removed = resolved.agg(
-        F.count_if("is_conflict").alias("conflicting_texts_removed"),
-        F.coalesce(F.sum(F.when(~F.col("is_conflict"), F.col("copies") - 1)), F.lit(0)).alias("duplicates_removed"),
-    ).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), F.lit("").alias("key"), F.col(m).alias("value"))
-                    for m in ("conflicting_texts_removed", "duplicates_removed")
-                ]
-            )
-        )
+    entries = (
+        F.when(F.col("level") == 7, totals)
+        .when(F.col("level") == 3, F.array(entry("class_counts", "rows")))
+        .when(F.col("level") == 5, F.array(entry("source_counts", "rows")))
+        .otherwise(F.array(entry("source_type_counts", "rows")))
     )
-    return named.unionByName(removed)
+    # A label or source seen only in conflicting texts has no kept row and no entry.
+    seen = counts.filter((F.col("level") == 7) | (F.col("rows") > 0))
+    return seen.select(F.inline(entries))
 
 
 def manifest_row(

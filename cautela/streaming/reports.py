@@ -32,7 +32,11 @@ def append_reports(
     on_warning: Callable[[str], None] = print,
     **trigger,
 ) -> StreamingQuery:
-    """Each micro-batch replaces its own folder, so a repeated batch after a failure adds nothing."""
+    """Each micro-batch replaces its own folder, so a repeated batch after a failure adds nothing.
+
+    ``refresh_metadata`` recounts the stored reports (two columns of them) after every batch; for a
+    long history leave it out and take the numbers from ``running_totals``, which keeps them as state.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

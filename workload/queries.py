@@ -14,7 +14,7 @@ from cautela.operators.rules import rule_catalogue
 from cautela.operators.split import stratified_split
 from cautela.operators.validation import message_reject_reason, report_reject_reason
 from cautela.plans import assess
-from cautela.session import checkpoint_root
+from cautela.session import checkpoint_root, cut_lineage
 from cautela.sources import evidence_registry, labelled, synthetic
 from cautela.sources.curated import curated_messages
 from cautela.streaming import messages as message_streams
@@ -368,7 +368,7 @@ def manifest_counts(spark, sf):
 @query
 def manifest(spark, sf):
     """The whole manifest as one row, its maps as JSON."""
-    resolved = _resolved(spark, sf)
+    resolved = cut_lineage(_resolved(spark, sf))
     row = dataset.manifest_row(
         dataset.manifest_counts(resolved),
         dataset.dataset_fingerprint(dataset.kept_records(resolved)),
