@@ -81,7 +81,10 @@ def community_properties(reports: DataFrame) -> DataFrame:
                 F.lit("last_report_id"),
                 F.col("last_report_id"),
                 F.lit("last_report_submitted_at"),
-                F.date_format("last_report_submitted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
+                F.date_format(
+                    F.to_utc_timestamp("last_report_submitted_at", F.current_timezone()),
+                    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'",
+                ),
             ),
         ).alias("custom_properties")
     )

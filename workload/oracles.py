@@ -350,7 +350,7 @@ ORACLES["community_properties"] = with_(
 ) + (
     "SELECT property, value FROM fixed UNION ALL SELECT 'record_count', CAST(record_count AS VARCHAR) FROM t "
     "UNION ALL SELECT 'last_report_id', last[2] FROM t UNION ALL SELECT 'last_report_submitted_at', "
-    "strftime(to_timestamp(last[1]) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') FROM t"
+    "strftime(to_timestamp(last[1]) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f+00:00') FROM t"
 )
 ORACLES["report_validation"] = (
     "SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 1 THEN 'empty_text' WHEN length(text) > 10000 THEN 'too_long' "
