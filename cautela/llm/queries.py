@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cautela.llm.common import table
+from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
+from cautela.llm.tree_search import exact_top_k
 
 #: Vocabulary files lie outside the repository; every node has them under the same folder.
 TOKENIZERS = os.environ.get("CAUTELA_TOKENIZERS", "/opt/tokenizers")
@@ -18,5 +21,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
-ORACLES: dict[str, str] = {}
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+}
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLES: dict[str, str] = {
+    "op2_exact_top_k": f"""
+        WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings WHERE {_USABLE}),
+        s AS (SELECT q.id AS query_id, d.id AS vec_id, list_dot_product(q.vec, d.vec)::BIGINT AS score
+              FROM v q JOIN v d ON q.id <> d.id WHERE q.id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+    "op8_nearest_neighbours": f"""
+        WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings
+                   WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT q.id AS query_id, d.id AS vec_id, list_dot_product(q.vec, d.vec) AS score
+              FROM v q JOIN v d ON q.id <> d.id WHERE q.id % 20 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20""",
+}
