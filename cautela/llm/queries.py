@@ -7,9 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cautela.llm.common import table
+from cautela.llm.common import Scratch, table
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
+from cautela.llm.token_files import token_index, write_token_files
 from cautela.llm.tree_search import exact_top_k
 
 #: Vocabulary files lie outside the repository; every node has them under the same folder.
@@ -25,6 +26,12 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'token-files').folder}/ids"
+    write_token_files(table(spark, sf_dir, "documents"), path, BYTE_BPE)
+    return token_index(spark, path)
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -32,6 +39,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
+    "op6_token_files": op6_token_files,
     "op8_nearest_neighbours": op8_nearest_neighbours,
 }
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
