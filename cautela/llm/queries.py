@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.llm.common import Scratch, table
+from cautela.llm.near_dedup import near_duplicates
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
 from cautela.llm.token_files import token_index, write_token_files
@@ -36,11 +37,16 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
     "op6_token_files": op6_token_files,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_near_dedup": op9_near_dedup,
 }
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
@@ -58,4 +64,20 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v d ON q.id <> d.id WHERE q.id % 20 = 0)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 20""",
+    "op9_near_dedup": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS sh
+            FROM w),
+        n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+        u AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+        meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * i >= 75 * (x.n_shingles + y.n_shingles - i)),
+        sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b)
+        SELECT n.doc_id, any_value(n_shingles) AS n_shingles, min(reach.b) AS component_id, n.doc_id = min(reach.b) AS kept
+        FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id""",
 }
