@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cautela.session import checkpoint_root
 
@@ -48,6 +49,27 @@ class Scratch:
         location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
+#: Bits of a pre-filter, in bitmaps of 2^15; 8 MB, however many keys it has seen.
+FILTER_BITS = 1 << 26
+
+
+def prefilter(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``keys`` (one column of the same name): few false ones, no misses.
+
+    The keys' hashes set bits of a bitmap of fixed size, the only thing broadcast, so that a join that follows
+    shuffles little more than what it keeps. With very many keys it lets more rows through and stays right.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bitmaps = keys.select(F.shiftright(place, 15).alias("_page"), place.bitwiseAND((1 << 15) - 1).alias("_bit"))
+    bitmaps = bitmaps.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    octet = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("1 << cast(_at % 8 as int)").bitwiseAND(octet) != 0
+    marked = df.withColumn("_page", F.shiftright(place, 15)).withColumn("_at", place.bitwiseAND((1 << 15) - 1))
+    bitmaps = F.broadcast(bitmaps.withColumnRenamed("_page", "_its_page"))
+    met = marked.join(bitmaps, (F.col("_page") == F.col("_its_page")) & hit)
+    return met.select(*(df[c] for c in df.columns))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

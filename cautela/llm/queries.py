@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.llm.common import Scratch, table
+from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
@@ -33,6 +34,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_lines(table(spark, sf_dir, "documents"))
+    counts = (F.col(f"line_dedup.{c}").alias(c) for c in ("n_lines", "n_removed"))
+    return rows.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -45,6 +52,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
     "op6_token_files": op6_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_dedup": op9_near_dedup,
 }
