@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cautela.llm.common import Scratch, table
 from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
+from cautela.llm.personal_data import BASE_PATTERNS, KINDS, find_personal_data, written
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
 from cautela.llm.token_files import token_index, write_token_files
@@ -28,6 +29,21 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("personal_data.base")
+    counts = (
+        F.size(F.filter(base, lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{KINDS[kind]}")
+        for kind in BASE_PATTERNS
+    )
+    return rows.select(
+        "doc_id",
+        *counts,
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("personal_data.spans")).alias("spans"),
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-files').folder}/ids"
     write_token_files(table(spark, sf_dir, "documents"), path, BYTE_BPE)
@@ -51,6 +67,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
+    "op4_personal_data": op4_personal_data,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
