@@ -249,8 +249,8 @@ def _remaining(
         ids, others = left.column("id").to_numpy(), right.column("id").to_numpy()
         parts, other_parts = left.column("component").to_numpy(), right.column("component").to_numpy()
         outer = left.column("outer").to_numpy(zero_copy_only=False)
-        found = []
-        for i in range(len(ids)):
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for i in range(len(ids) if len(others) else 0):
             at = np.flatnonzero((other_parts != parts[i]) & (~outer[i] | (ids[i] < others)))
             at = at[surviving(np.broadcast_to(x[i], (len(at), HASHES)), y[at], least)] if len(at) else at
             found.append((np.full(len(at), ids[i]), others[at]))
