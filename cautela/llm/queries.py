@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.llm.common import Scratch, table
+from cautela.llm.language_id import held_out, identify, learn_languages
 from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
+from cautela.llm.packing import pack_documents
 from cautela.llm.personal_data import BASE_PATTERNS, KINDS, find_personal_data, written
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
@@ -44,6 +46,13 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    told = identify(documents.select("doc_id", "text"), learn_languages(documents), keep_text=False)
+    language = (F.col("language_id.language").alias("lang_pred"), F.col("language_id.score").alias("score"))
+    return told.select("doc_id", held_out("doc_id").alias("held_out"), *language)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-files').folder}/ids"
     write_token_files(table(spark, sf_dir, "documents"), path, BYTE_BPE)
@@ -64,14 +73,20 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
     "op4_personal_data": op4_personal_data,
+    "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_dedup": op9_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
