@@ -2,7 +2,7 @@
 
 A line is compared in lower case with its white space collapsed. Its shingles are the ``SHINGLE`` characters (or what is
 left of the line) from the start of each word on. Their hashes, sorted, fall into 32 ranges; the smallest of each range
-is the signature (one permutation), three ranges together are a band. Two lines that share a band are compared with each
+is the signature (one permutation), four ranges together are a band. Two lines that share a band are compared with each
 other exactly; links of a Jaccard similarity of at least ``SIMILARITY`` make components by distributed union-find, and of
 each component only the first line - lowest document id, then line number - stays.
 
@@ -18,6 +18,8 @@ texts are different documents. Extra columns are passed through. An empty table
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,20 @@ from cautela.llm.components import components
 
 SHINGLE, LEAST = 9, 10
 SIMILARITY_PARTS, SIMILARITY_NEEDED = 100, 80
-#: The top five bits of a hash are its range; so many neighbouring ranges are a band. At the threshold a pair shares
-#: one of the eleven bands with a chance of 0.999 (0.8^3 = 0.51 for each).
-RANGE_SHIFT, BAND_RANGES = 59, 3
+#: The top five bits of a hash are its range, four neighbouring ranges are a band. At the threshold a pair shares one of the
+#: eight bands with a chance of 0.985 (0.8^4 = 0.41 for each) or more, as ranges that are empty for both agree.
+RANGE_SHIFT, BANDS = 59, 8
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    odd = reduce(lambda a, b: a | b, (line.contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
 def shingle_hashes(line: Column) -> Column:
     """Sorted distinct hashes of the shingles of a normalised line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^ ])(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]++ ?"), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -48,8 +51,10 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def _band(number: int) -> Column:
-    part = F.filter("least", lambda x: F.floor(F.shiftrightunsigned(x, RANGE_SHIFT) / BAND_RANGES) == number)
-    return F.struct(F.lit(number).alias("band"), part.alias("part"))
+    width = (1 << 64) // BANDS
+    low, high = -(1 << 63) + number * width, -(1 << 63) + (number + 1) * width
+    inside = (lambda x: x >= low) if number == BANDS - 1 else (lambda x: (x >= low) & (x < high)) if number else (lambda x: x < high)
+    return F.struct(F.lit(number).alias("band"), F.filter("least", inside).alias("part"))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def _signed(lines: DataFrame) -> DataFrame:
         "least",
         F.filter("h", lambda x, i: (i == 0) | (at(x) != at(F.get(F.col("h"), i - 1)))),
     )
-    bands = [_band(number) for number in range(-(-(1 << (64 - RANGE_SHIFT)) // BAND_RANGES))]
+    bands = [_band(number) for number in range(BANDS)]
     keyed = least.withColumn("bands", F.filter(F.array(*bands), lambda b: F.size(b["part"]) > 0))
     return keyed.select(
         "doc",
@@ -77,12 +82,23 @@ def _fits(x: Column, y: Column) -> Column:
     return SIMILARITY_PARTS * F.least(x, y) >= SIMILARITY_NEEDED * F.greatest(x, y)
 
 
-def _alike(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of line ids that reach the similarity on their full shingle sets."""
+def _alike(pairs: DataFrame, df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of line ids that reach the similarity on their full shingle sets.
+
+    Each line is read again at one place where it stands, so only the documents with such a place are gone through.
+    """
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = prefilter(lines.select(F.xxhash64("line").alias("id"), "line"), ids, "id")
-    wanted = wanted.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi")
-    sets = scratch.save(wanted.select("id", shingle_hashes(F.col("line")).alias("h")))
+    places = prefilter(signed.select("id", "doc", "text_key", "no"), ids, "id").join(ids, "id", "left_semi")
+    places = places.groupBy("id").agg(F.min(F.struct("doc", "text_key", "no")).alias("at"))
+    places = places.groupBy("at.doc", "at.text_key").agg(F.collect_list(F.struct("at.no", "id")).alias("wanted"))
+    places = scratch.save(places)
+    rows = prefilter(df.select("doc", "text_key", "text"), places.select("text_key"), "text_key")
+    # Rows that repeat both id and text would give their lines twice.
+    rows = rows.join(places, ["doc", "text_key"]).withColumn("lines", F.split("text", "\n"))
+    read = rows.select("lines", F.explode("wanted").alias("w"))
+    read = read.select(F.col("w.id").alias("id"), normal_line(F.get(F.col("lines"), F.col("w.no"))).alias("line"))
+    read = read.groupBy("id").agg(F.min("line").alias("line"))
+    sets = scratch.save(read.select("id", shingle_hashes(F.col("line")).alias("h")))
     x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
     met = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -90,7 +106,7 @@ def _alike(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     return met.filter(SIMILARITY_PARTS * F.col("common") >= SIMILARITY_NEEDED * united).select("a", "b")
 
 
-def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component of the lines that are linked to a smaller line id."""
     rows = signed.select(F.explode("bands").alias("key"), "id", "n")
     shared = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last"))
@@ -99,7 +115,7 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch) -> Da
     members = scratch.save(members)
     stars = members.filter((F.col("id") > F.col("lead.id")) & _fits(F.col("n"), F.col("lead.n")))
     tried = scratch.save(stars.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = scratch.save(_alike(tried, lines, scratch))
+    links = scratch.save(_alike(tried, df, signed, scratch))
     labels = components(links, scratch)
 
     # Second round: bands with lines of several components. Those of the largest component do not meet each other.
@@ -119,7 +135,7 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch) -> Da
     pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
         return labels
-    more = scratch.save(_alike(pairs, lines, scratch))
+    more = scratch.save(_alike(pairs, df, signed, scratch))
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
@@ -127,9 +143,8 @@ def line_components(lines: DataFrame, signed: DataFrame, scratch: Scratch) -> Da
 
 def removed_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, text_key and the sorted numbers (from 0) of the lines that go, for rows (doc, text_key, text)."""
-    lines = _lines(df)
-    signed = scratch.save(_signed(lines))
-    labels = line_components(lines, signed, scratch)
+    signed = scratch.save(_signed(_lines(df)))
+    labels = line_components(df, signed, scratch)
     placed = signed.select("doc", "text_key", "no", "id").join(labels, "id", "left")
     placed = scratch.save(placed.select("doc", "text_key", "no", F.coalesce("component", "id").alias("component")))
     place = F.struct("doc", "no", "text_key")
