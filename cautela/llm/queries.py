@@ -13,6 +13,7 @@ from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
 from cautela.llm.packing import pack_documents
 from cautela.llm.personal_data import BASE_PATTERNS, KINDS, find_personal_data, written
+from cautela.llm.sentence_pieces import decode_pieces, encode_pieces
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
 from cautela.llm.token_files import token_index, write_token_files
@@ -21,6 +22,7 @@ from cautela.llm.tree_search import exact_top_k
 #: Vocabulary files lie outside the repository; every node has them under the same folder.
 TOKENIZERS = os.environ.get("CAUTELA_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECE_BPE = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,18 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of the ids, and whether decoding them gives the text back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_pieces(encode_pieces(documents, PIECE_BPE), PIECE_BPE)
+    return decoded.select(
+        "doc_id",
+        F.when(F.col("piece_ids").isNull(), F.lit(0)).otherwise(F.size("piece_ids")).cast("long").alias("n_pieces"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("personal_data.base")
@@ -80,6 +94,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op4_personal_data": op4_personal_data,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
