@@ -112,3 +112,44 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = np.flatnonzero(inside & ~after) + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
     return starts, ends, rows
+
+
+#: Words in the younger of the two generations that a worker remembers.
+REMEMBERED = 600_000
+
+
+class WordMemory:
+    """Encodes texts word by word, each different word once; subclasses say how texts are cut and words encoded."""
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str] | None:
+        """Words whose encodings make up the text's; None if it has to be encoded in one."""
+        raise NotImplementedError
+
+    def whole(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def learn(self, words: list[str]) -> None:
+        """Put the words' encodings into ``known``."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        needed = set().union(*(words for words in cut if words is not None))
+        if len(self.known) > REMEMBERED:  # words that come again move over from the older generation
+            self.older, self.known = self.known, {}
+        missing = []
+        for word in needed - self.known.keys():
+            ids = self.older.get(word)
+            if ids is None:
+                missing.append(word)
+            else:
+                self.known[word] = ids
+        self.learn(missing)
+        known = self.known.__getitem__
+        return [
+            self.whole(text) if words is None else b"".join(map(known, words)) for text, words in zip(texts, cut, strict=True)
+        ]

@@ -141,11 +141,16 @@ class Automaton:
         return counts
 
 
+def byte_stand_ins() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte, from one rule."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
+
+
 def byte_level_vocabulary(path: str) -> list[bytes]:
-    """Pieces of a byte-level vocabulary file as bytes; its printable stand-ins follow from one rule."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shifted = [b for b in range(256) if b not in plain]
-    decode = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
+    """Pieces of a byte-level vocabulary file as bytes."""
+    decode = {c: b for b, c in enumerate(byte_stand_ins())}
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     special = {t["content"] for t in model.get("added_tokens", [])}

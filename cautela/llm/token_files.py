@@ -11,6 +11,7 @@ other columns are not stored. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cautela.llm.common import slices
+from cautela.llm.common import WordMemory, slices
+from cautela.llm.token_counts import byte_stand_ins
 
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 64 << 20, 1000, 0.01
 SCHEMA = "seq long, doc_id long, ids array<int>"
-#: Words whose ids a task remembers; when they are this many it starts anew.
-REMEMBERED = 800_000
+#: Marks that, at a word's end, are a pre-token of their own.
+MARKS = frozenset(".,;:!?")
+#: The vocabulary's printable stand-ins of bytes.
+PRINTABLE = dict(enumerate(byte_stand_ins()))
 #: Words encoded in one call.
 CALL_WORDS = 2_000
 
 
-class WordEncoder:
+class WordEncoder(WordMemory):
     """Encodes texts with the tokenizers library, each different word once.
 
     The pre-tokenizer of byte-level vocabularies always cuts before a single space and around a single line break
@@ -38,59 +42,50 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.line_break = self._ids("\n")
-        if len(self.line_break) != 1:
-            raise ValueError("The vocabulary has no id for a line break.")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for start in range(0, len(words), CALL_WORDS):
-            part = words[start : start + CALL_WORDS]
-            ids = self._ids("\n".join(part))
-            cuts = np.flatnonzero(ids == self.line_break[0])
-            edges = [-1, *cuts.tolist(), len(ids)]
-            for word, a, b in zip(part, edges[:-1], edges[1:], strict=True):
-                self.known[word] = ids[a + 1 : b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._cut(t) for t in texts]
-        needed = set().union(*(words for words in cut if words is not None))
-        needed.discard("\n")
-        missing = [w for w in needed if w not in self.known]
-        if missing:
-            self._learn(missing)
-            if any(w not in self.known for w in needed):  # the memory was started anew
-                self._learn([w for w in needed if w not in self.known])
-        self.known["\n"] = self.line_break.tobytes()
-        known = self.known.__getitem__
-        return [
-            self._ids(text).tobytes() if words is None else b"".join(map(known, words))
-            for text, words in zip(texts, cut, strict=True)
-        ]
-
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
+        self.tokenizer.model._resize_cache(0)  # each word comes once, looking it up is in vain
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+
+    def _word(self, letters: str) -> bytes:
+        """A single pre-token, which needs the model only."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(PRINTABLE))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: list[str]) -> None:
+        rest = []
+        for word in words:
+            body = word[1:] if word[0] == " " else word
+            if body.isalpha():
+                self.known[word] = self._word(word)
+            elif body[:-1].isalpha() and body[-1] in MARKS:  # the pre-tokenizer cuts between letters and marks
+                stem = self.known.get(word[:-1]) or self._word(word[:-1])
+                self.known[word[:-1]] = stem
+                self.known[word] = stem + self._word(word[-1])
+            else:
+                rest.append(word)
+        for start in range(0, len(rest), CALL_WORDS):
+            part = rest[start : start + CALL_WORDS]
+            self.known.update(zip(part, self._ids(part), strict=True))
+
+    def whole(self, text: str) -> bytes:
+        return self._ids([text])[0]
+
+    def cut(self, text: str) -> list[str] | None:
         """Words, each with the space before it, and line breaks; None if the text has other white space."""
-        words = text.replace("\n", " \n ").split(" ")
-        if "" in words or text.split() != [w for w in words if w != "\n"]:
-            return None
-        spaced = [" " + w for w in words]
-        spaced[0] = words[0]
-        for at in [i for i, w in enumerate(words) if w == "\n"]:
-            spaced[at] = "\n"
-            spaced[at + 1] = words[at + 1]
-        return spaced
+        if not text:
+            return []
+        flat = text.replace("\n", " ")
+        if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":
+            return None  # a space is the only white space that counts as printable
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 @lru_cache(maxsize=2)
