@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cautela.llm.common import Scratch, slices, utf8, word_bounds
+from cautela.llm.common import Scratch, prefilter, slices, utf8, word_bounds
 from cautela.llm.components import components
 
 WORDS = 5
@@ -36,8 +36,6 @@ BATCH = 32
 MISS = 1e-7
 #: Buckets up to this size are paired by a join, larger ones in blocks of BLOCK rows.
 SMALL_BUCKET, BLOCK = 48, 1024
-#: So many ids (8 bytes each) are sent to all tasks; more are joined by shuffle.
-BROADCAST_IDS = 500_000
 
 _RANDOM = np.random.default_rng(20_240_917)
 BYTE_CODES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,12 +187,6 @@ def probable(pairs: DataFrame, signature: DataFrame, threshold: float, miss: flo
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def with_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
-    """Semi or anti join with a table of ids; the ids are broadcast only if they are counted and few."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, column, how)
-
-
 def verified(pairs: DataFrame, df: DataFrame, parts: int, needed: int, scratch: Scratch) -> DataFrame:
     """The pairs that reach the threshold on their full shingle sets, made again from the texts of the ids involved."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -206,7 +198,8 @@ def verified(pairs: DataFrame, df: DataFrame, parts: int, needed: int, scratch:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["id", "shingles"])
 
-    sets = scratch.save(with_ids(df, ids, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>"))
+    wanted = prefilter(df, ids, "doc_id").join(ids, "doc_id", "left_semi")
+    sets = scratch.save(wanted.mapInArrow(run, "id long, shingles array<long>"))
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -282,7 +275,8 @@ def near_duplicates(
 
     keys = band_keys(signature)
     shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
-    members = scratch.save(keys.join(shared.select("key", "lead"), "key"))
+    shared = scratch.save(shared.select("key", "lead"))
+    members = scratch.save(prefilter(keys, shared.select("key"), "key").join(shared, "key"))
     stars = members.filter(F.col("id") > F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tried = scratch.save(probable(stars, signature, threshold, miss))
     links = scratch.save(verified(tried, named, parts, needed, scratch).union(hanging))
