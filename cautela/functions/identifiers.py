@@ -27,14 +27,18 @@ def name_uuid(name: Column) -> Column:
     )
 
 
+def report_key(submitted_at: Column, *identity: Column) -> Column:
+    """Full SHA-256 of what was sent and when: equal for a replayed report, different for any other."""
+    return F.sha2(F.concat_ws("\x1f", F.unix_micros(submitted_at).cast("string"), *identity), 256)
+
+
 def report_id(submitted_at: Column, *identity: Column) -> Column:
-    """``COM-<time>-<6 hex>``; the suffix hashes what was sent, so a replayed report keeps its id."""
-    parts = F.concat_ws("\x1f", F.unix_micros(submitted_at).cast("string"), *identity)
+    """``COM-<time>-<6 hex>``, for display; ``report_key`` tells reports of one second apart."""
     return F.concat(
         F.lit("COM-"),
         F.date_format(F.to_utc_timestamp(submitted_at, F.current_timezone()), "yyyyMMddHHmmss"),
         F.lit("-"),
-        F.upper(F.substring(F.sha2(parts, 256), 1, 6)),
+        F.upper(F.substring(report_key(submitted_at, *identity), 1, 6)),
     )
 
 

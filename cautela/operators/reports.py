@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cautela.functions.identifiers import report_id
+from cautela.functions.identifiers import report_id, report_key
 from cautela.functions.masking import sanitise
 from cautela.functions.text import category_name, strip_spaces
 from cautela.operators.validation import report_reject_reason
@@ -39,6 +40,7 @@ def prepare_reports(
     named = submissions.withColumn("_category", category_name(F.col(category)))
     return named.select(
         report_id(F.col(submitted_at), F.col(category), F.col(text)).alias("report_id"),
+        report_key(F.col(submitted_at), F.col(category), F.col(text)).alias("report_key"),
         F.col("_category").alias("category"),
         sanitise(F.col(text)).alias("sanitised_text"),
         F.lit("unverified").alias("review_status"),
@@ -58,6 +60,11 @@ def accepted_reports(prepared: DataFrame) -> DataFrame:
     return prepared.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
+def rejected_reports(prepared: DataFrame) -> DataFrame:
+    """What is set aside, with its reason; masked like everything else."""
+    return prepared.filter(F.col("reject_reason").isNotNull()).select("report_key", "category", "submitted_at", "reject_reason")
+
+
 def report_totals(reports: DataFrame, *by: str) -> DataFrame:
     """Stored reports, and the last one: latest time, then highest id."""
     last = F.max(F.struct("submitted_at", "report_id"))
@@ -69,10 +76,25 @@ def report_totals(reports: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def merged_totals(totals: DataFrame) -> DataFrame:
+    """Totals of several batches as one row: counts add up, the last report is the latest one."""
+    last = F.max(F.struct("last_report_submitted_at", "last_report_id"))
+    return totals.agg(F.sum("record_count").alias("record_count"), last.alias("last")).select(
+        "record_count",
+        F.col("last.last_report_id").alias("last_report_id"),
+        F.col("last.last_report_submitted_at").alias("last_report_submitted_at"),
+    )
+
+
 def community_properties(reports: DataFrame) -> DataFrame:
-    """The refreshed property map of the community source, one row."""
+    """The refreshed property map of the community source, one row, counted from the reports."""
+    return properties_of(report_totals(reports))
+
+
+def properties_of(totals: DataFrame) -> DataFrame:
+    """The property map for one row of totals."""
     fixed = [F.lit(x) for kv in COMMUNITY_PROPERTIES.items() for x in kv]
-    return report_totals(reports).select(
+    return totals.select(
         F.map_concat(
             F.create_map(*fixed),
             F.create_map(
@@ -90,30 +112,45 @@ def community_properties(reports: DataFrame) -> DataFrame:
     )
 
 
+STORED_COLUMNS = (*REPORT_COLUMNS, "report_key", "submitted_at")
+
+
+def store_batch(ready: DataFrame, path: str, run: str, batch: str) -> DataFrame:
+    """Write one batch of reports and, beside it, its totals; a repeated call replaces both. Returns what was stored.
+
+    The same layout serves batch jobs and streams: ``<path>/run=<run>/batch=<batch>`` and ``<path>-totals`` alike. A
+    run is one job or one stream checkpoint, so that two of them on one path never write into each other's folders.
+    """
+    spark, place = ready.sparkSession, f"run={run}/batch={batch}"
+    ready = ready.select(*STORED_COLUMNS)
+    ready.write.mode("overwrite").parquet(f"{path}/{place}")
+    stored = spark.read.schema(ready.schema).parquet(f"{path}/{place}")
+    report_totals(stored).write.mode("overwrite").parquet(f"{path}-totals/{place}")
+    return stored
+
+
+def refreshed_properties(spark, path: str) -> DataFrame:
+    """The property map from the batches' totals, one small row each; no stored report is read again."""
+    return properties_of(merged_totals(spark.read.parquet(f"{path}-totals")))
+
+
 def submit_reports(
     submissions: DataFrame,
     path: str,
     refresh_metadata: Callable[[DataFrame], None] | None = None,
     batch: str | None = None,
 ) -> DataFrame:
-    """Append the usable reports, then try to refresh the metadata; returns the result rows.
+    """Store the usable reports, then try to refresh the metadata; returns the result rows.
 
-    With ``batch`` the rows form one partition that a repeated call replaces, so a retried job or
-    micro-batch does not store a report twice. A failing refresh only sets the warning.
+    A call with a ``batch`` that was stored before replaces it, so a retried job does not store a report twice; without
+    one the call is a batch of its own. A failing refresh only sets the warning.
     """
-    spark = submissions.sparkSession
-    ready = accepted_reports(prepare_reports(submissions)).select(*REPORT_COLUMNS, "submitted_at")
-    if batch is None:
-        ready.write.mode("append").parquet(path)
-        stored = ready
-    else:
-        folder = f"{path}/batch={batch}"
-        ready.write.mode("overwrite").parquet(folder)
-        stored = spark.read.schema(ready.schema).parquet(folder)
+    batch = uuid.uuid4().hex if batch is None else batch
+    stored = store_batch(accepted_reports(prepare_reports(submissions)), path, "submitted", batch)
     warning = None
     if refresh_metadata is not None:
         try:
-            refresh_metadata(community_properties(spark.read.parquet(path)))
+            refresh_metadata(refreshed_properties(submissions.sparkSession, path))
         except Exception as exc:  # noqa: BLE001 - reports are stored, whatever the catalogue does
             warning = f"The sanitised report was saved locally, but metadata write-back failed: {exc}"
     return stored.select(

@@ -8,46 +8,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cautela.operators.reports import accepted_reports, community_properties, prepare_reports
-from cautela.sources.schemas import REPORT_COLUMNS
+from cautela.operators.reports import (
+    accepted_reports,
+    prepare_reports,
+    refreshed_properties,
+    rejected_reports,
+    store_batch,
+)
 
-STORED_COLUMNS = (*REPORT_COLUMNS, "submitted_at")
+QUERY_ID = "sql.streaming.queryId"
 
 
-def sanitised_stream(submissions: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Masked reports; a submission that is sent again within ``lateness`` is dropped.
+def not_stored_yet(ready: DataFrame, path: str, place: str) -> DataFrame:
+    """Reports of a batch, each once, without those that an earlier batch of any run has stored, however late they are.
 
-    The id hashes what was sent, so both the sender's retries and replays of the source are seen.
+    A report's key includes its time, so only stored files whose times overlap the batch's are read (from the Parquet
+    statistics). The batch's own folder does not count: a repeated batch replaces it.
     """
-    ready = accepted_reports(prepare_reports(submissions)).select(*STORED_COLUMNS)
-    return ready.withWatermark("submitted_at", lateness).dropDuplicatesWithinWatermark(["report_id"])
+    single = ready.dropDuplicates(["report_key"])
+    spark = ready.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return single
+    first, last = ready.agg(F.min("submitted_at"), F.max("submitted_at")).first()
+    if first is None:
+        return single
+    files = spark.read.option("basePath", path).schema("report_key string, submitted_at timestamp").parquet(path)
+    stored = files.filter(F.col("submitted_at").between(F.lit(first), F.lit(last)) & ~F.input_file_name().contains(f"/{place}/"))
+    return single.join(stored.select("report_key"), "report_key", "left_anti")
 
 
 def append_reports(
     submissions: DataFrame,
     path: str,
     checkpoint: str,
-    lateness: str = "1 hour",
     refresh_metadata: Callable[[DataFrame], None] | None = None,
     on_warning: Callable[[str], None] = print,
     **trigger,
 ) -> StreamingQuery:
-    """Each micro-batch replaces its own folder, so a repeated batch after a failure adds nothing.
+    """Store every report once; a late one is stored like any other, a report sent again is left out.
 
-    ``refresh_metadata`` recounts the stored reports (two columns of them) after every batch; for a
-    long history leave it out and take the numbers from ``running_totals``, which keeps them as state.
+    Each micro-batch replaces its own folder, named by the query's id - which lives in the checkpoint - and its number.
+    Rejected rows go to ``<path>-rejected`` with their reasons. ``refresh_metadata`` gets the properties from the batches' totals.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty(QUERY_ID)
+        place = f"run={run}/batch={batch_id}"
+        batch.persist()
+        try:
+            rejected_reports(batch).write.mode("overwrite").parquet(f"{path}-rejected/{place}")
+            store_batch(not_stored_yet(accepted_reports(batch), path, place), path, run, str(batch_id))
+        finally:
+            batch.unpersist()
         if refresh_metadata is None:
             return
         try:
-            refresh_metadata(community_properties(batch.sparkSession.read.parquet(path)))
+            refresh_metadata(refreshed_properties(spark, path))
         except Exception as exc:  # noqa: BLE001 - reports are stored, whatever the catalogue does
             on_warning(f"Metadata write-back failed after batch {batch_id}: {exc}")
 
-    writer = sanitised_stream(submissions, lateness).writeStream.foreachBatch(store)
+    writer = prepare_reports(submissions).writeStream.foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

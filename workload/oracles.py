@@ -316,9 +316,12 @@ ORACLES["mask_steps"] = with_(SUBMISSIONS) + (
 )
 
 
+def report_key(text: str, category: str) -> str:
+    return f"sha256((seconds * 1000000) || chr(31) || {category} || chr(31) || {text})"
+
+
 def report_id(text: str, category: str) -> str:
-    identity = f"(seconds * 1000000) || chr(31) || {category} || chr(31) || {text}"
-    return f"'COM-' || strftime(to_timestamp(seconds) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') || '-' || upper(substr(sha256({identity}), 1, 6))"
+    return f"'COM-' || strftime(to_timestamp(seconds) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') || '-' || upper(substr({report_key(text, category)}, 1, 6))"
 
 
 def category(name: str) -> str:
@@ -326,7 +329,7 @@ def category(name: str) -> str:
 
 
 PREPARED = (
-    f"prepared AS (SELECT message_id, {report_id('text', 'category')} AS report_id, {category('category')} AS category, "
+    f"prepared AS (SELECT message_id, {report_id('text', 'category')} AS report_id, {report_key('text', 'category')} AS report_key, {category('category')} AS category, "
     f"{guarded('s')} AS sanitised_text, seconds, CASE WHEN length(text) < 1 THEN 'empty_text' "
     "WHEN length(text) > 10000 THEN 'too_long' WHEN s = '' THEN 'nothing_left' END AS reject_reason "
     f"FROM (SELECT *, {squeezed(masked('text'))} AS s FROM submissions))"
@@ -359,14 +362,23 @@ ORACLES["report_validation"] = (
     f"{category('c')} AS category FROM (SELECT doc_id, text, CASE WHEN doc_id % 9 = 4 THEN '' WHEN doc_id % 3 = 0 "
     "THEN repeat(source, 12) WHEN doc_id % 3 = 1 THEN source END AS c FROM documents)"
 )
-ORDER_REPORTS = (
-    f"submissions AS (SELECT {opener('o_orderkey')} || ' call +60 12-' || (o_orderkey + 1000000) AS text, "
-    "o_orderpriority AS category, 1704067200 + o_orderkey AS seconds, '' AS message_id FROM orders)"
+STREAMED = SUBMISSIONS.replace("submissions AS", "sent AS", 1) + (
+    ", submissions AS (SELECT message_id, text, category, 1704067200 + (seconds - 1704067200) % 50 AS seconds FROM sent)"
+)
+STORED = (
+    f"SELECT DISTINCT report_key, report_id, category, sanitised_text, 'unverified' AS review_status{{more}} FROM prepared "
+    "WHERE reject_reason IS NULL"
+)
+ORACLES["stream_reports"] = with_(STREAMED, PREPARED) + STORED.format(more="")
+ORACLES["stream_rejected_reports"] = with_(STREAMED, PREPARED) + (
+    "SELECT report_key, category, reject_reason FROM prepared WHERE reject_reason IS NOT NULL"
 )
-ORACLES["stream_reports"] = with_(ORDER_REPORTS, PREPARED) + (
-    "SELECT report_id, category, sanitised_text, 'unverified' AS review_status FROM prepared WHERE reject_reason IS NULL"
+ORACLES["submitted_reports"] = with_(SUBMISSIONS, PREPARED) + STORED.replace("DISTINCT ", "").format(
+    more=", false AS allowed_for_decision, true AS saved_locally, false AS writeback_available, 'The sanitised report was "
+    f"saved locally, but metadata write-back failed: offline' AS writeback_warning, {lit(rp.EXPLANATION)} AS explanation"
 )
-ORACLES["stream_report_totals"] = with_(ORDER_REPORTS, PREPARED) + (
+ORACLES["stored_report_properties"] = ORACLES["community_properties"]
+ORACLES["stream_report_totals"] = with_(STREAMED, PREPARED) + (
     "SELECT category, count(*) AS record_count, max(seconds) * 1000000 AS last_micros FROM prepared "
     "WHERE reject_reason IS NULL GROUP BY category"
 )

@@ -669,7 +669,7 @@ def dataset_profiles(spark, sf):
 
 @query
 def dataset_tags(spark, sf):
-    """L2: parts as datasets, tagged by type and size; only defined tags survive."""
+    """L2: the seed tables, and parts as datasets tagged by type and size; only defined tags survive."""
     datasets = views.read(spark, sf, "part").select(
         F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("dataset"),
         F.array(
@@ -677,7 +677,7 @@ def dataset_tags(spark, sf):
             F.when(F.col("p_type") == "ECONOMY", F.lit("training-input")).otherwise(F.lower("p_type")),
         ).alias("tag_names"),
     )
-    return catalog.tag_rows(datasets, catalog.tag_table(spark), "dataset")
+    return catalog.tag_rows(datasets.union(catalog.dataset_table(spark)), catalog.tag_table(spark), "dataset")
 
 
 @query
@@ -715,37 +715,69 @@ def stream_assessments(spark, sf):
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _report_stream(spark, sf):
-    orders = _table_stream(spark, sf, "orders")
-    order = F.col("o_orderkey")
-    return orders.select(
-        F.concat(views.opener(order), F.lit(" call +60 12-"), (order + 1_000_000).cast("string")).alias("text"),
-        F.col("o_orderpriority").alias("category"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + order).alias("submitted_at"),
-    )
+def _report_stream(spark, sf, folder):
+    """All submissions as a landing folder has them: several files, each with reports of all times, many of one second."""
+    sent = views.submissions(spark, sf)
+    second = F.pmod(F.unix_seconds("submitted_at") - 1_704_067_200, F.lit(50))
+    sent = sent.select("text", "category", F.timestamp_seconds(F.lit(1_704_067_200) + second).alias("submitted_at"))
+    sent.repartition(6).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
 
 @query
 def stream_reports(spark, sf):
-    """ST2: every report sent twice, stored once."""
+    """ST2: every report sent twice, in three batches out of time order, stored once."""
     folder = _run_folder(spark)
-    twice = _report_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    twice = _report_stream(spark, sf, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     _drain(report_streams.append_reports(twice, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/out").select("report_id", "category", "sanitised_text", "review_status")
+    return spark.read.parquet(f"{folder}/out").select("report_key", "report_id", "category", "sanitised_text", "review_status")
+
+
+@query
+def stream_rejected_reports(spark, sf):
+    """ST2: what the report stream sets aside, each with its reason."""
+    folder = _run_folder(spark)
+    _drain(report_streams.append_reports(_report_stream(spark, sf, folder), f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/out-rejected").select("report_key", "category", "reject_reason")
+
+
+@query
+def submitted_reports(spark, sf):
+    """Result rows of a submission whose metadata refresh fails."""
+
+    def offline(_):
+        raise ConnectionError("offline")
+
+    rows = reports.submit_reports(views.submissions(spark, sf), f"{_run_folder(spark)}/out", offline, batch="1")
+    return rows.select(
+        "report_key", "report_id", "category", "sanitised_text", "review_status", "allowed_for_decision",
+        "saved_locally", "writeback_available", "writeback_warning", "explanation",
+    )
+
+
+@query
+def stored_report_properties(spark, sf):
+    """The property map from the totals of three batches."""
+    folder, sent = f"{_run_folder(spark)}/out", views.submissions(spark, sf)
+    for part in range(3):
+        reports.submit_reports(sent.filter(F.pmod(F.xxhash64("message_id"), F.lit(3)) == part), folder, batch=str(part))
+    return reports.refreshed_properties(spark, folder).select(F.explode("custom_properties").alias("property", "value"))
 
 
 @query
 def stream_report_totals(spark, sf):
     """ST3: running totals per category, the last state of each."""
     folder = _run_folder(spark)
-    ready = reports.accepted_reports(reports.prepare_reports(_report_stream(spark, sf)))
+    ready = reports.accepted_reports(reports.prepare_reports(_report_stream(spark, sf, folder)))
 
     def store(batch, batch_id):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     totals = report_streams.running_totals(ready).writeStream.outputMode("update").foreachBatch(store)
     _drain(totals.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    states = spark.read.parquet(f"{folder}/out")
+    states = spark.read.schema(
+        "category string, record_count long, last_report_submitted_at timestamp, batch_id int"
+    ).parquet(f"{folder}/out")
     return (
         states.groupBy("category")
         .agg(F.max(F.struct("batch_id", "record_count", "last_report_submitted_at")).alias("s"))
