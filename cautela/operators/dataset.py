@@ -159,12 +159,17 @@ def manifest_counts(resolved: DataFrame) -> DataFrame:
         F.count_if("is_conflict").alias("conflicts"),
         F.coalesce(F.sum(F.when(kept, F.col("copies") - 1)), F.lit(0)).alias("duplicates"),
     )
-    key = F.coalesce(F.col("label").cast("string"), "source", "source_type", F.lit(""))
+    # The grouping id tells which column a row counts; the total has no key, and null is not one.
+    key = (
+        F.when(F.col("level") == 7, F.lit(""))
+        .when(F.col("level") == 3, F.col("label").cast("string"))
+        .when(F.col("level") == 5, F.col("source"))
+        .otherwise(F.col("source_type"))
+    )
 
     def entry(metric: str, value: str):
         return F.struct(F.lit(metric).alias("metric"), key.alias("key"), F.col(value).alias("value"))
 
-    # The grouping id tells which columns are rolled up: 7 is the total, then one column each.
     totals = F.array(
         entry("row_count", "rows"),
         entry("conflicting_texts_removed", "conflicts"),
@@ -178,7 +183,7 @@ def manifest_counts(resolved: DataFrame) -> DataFrame:
     )
     # A label or source seen only in conflicting texts has no kept row and no entry.
     seen = counts.filter((F.col("level") == 7) | (F.col("rows") > 0))
-    return seen.select(F.inline(entries))
+    return seen.select(F.inline(entries)).filter(F.col("key").isNotNull())
 
 
 def manifest_row(

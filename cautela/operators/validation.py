@@ -51,10 +51,23 @@ def binary_label(raw: Column) -> Column:
 
 
 def check_training_size(df: DataFrame, label: str = "label", minimum: int = 40) -> dict[int, int]:
-    """Rows per class; fails below the minimum or with one class only. One small aggregation."""
-    counts = {r[label]: r["rows"] for r in df.groupBy(label).agg(F.count("*").alias("rows")).limit(3).collect()}
-    if sum(counts.values()) < minimum:
+    """Rows per class; fails below the minimum or unless the labels are 0 and 1, both. One aggregation to one row."""
+    row = training_size(df, label, minimum).first()
+    if row["rows"] < minimum:
         raise ValueError(f"At least {minimum} rows are required for a training run.")
-    if set(counts) != {0, 1}:
+    if row["verdict"] != "usable":
         raise ValueError("Training data must contain both legitimate and suspicious labels.")
-    return counts
+    return {0: row["legitimate_rows"], 1: row["suspicious_rows"]}
+
+
+def training_size(df: DataFrame, label: str = "label", minimum: int = 40, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, rows per class and the verdict on them, in all or per group."""
+    counts = df.groupBy(*by).agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col(label) == 0).alias("legitimate_rows"),
+        F.count_if(F.col(label) == 1).alias("suspicious_rows"),
+    )
+    odd = F.col("rows") != F.col("legitimate_rows") + F.col("suspicious_rows")
+    single = (F.col("legitimate_rows") == 0) | (F.col("suspicious_rows") == 0)
+    verdict = F.when(F.col("rows") < minimum, "too_few_rows").when(odd | single, "not_both_classes").otherwise("usable")
+    return counts.withColumn("verdict", verdict)

@@ -46,8 +46,7 @@ def build_training_dataset(
     resolved = spark.read.schema(resolved.schema).parquet(f"{folder}/resolved")
 
     kept = kept_records(resolved)
-    classes = kept.select("label").distinct().limit(3).count()
-    if classes != 2:
+    if kept.agg(F.count_distinct("label")).first()[0] != 2:
         raise ValueError("Training data must contain both legitimate and suspicious labels.")
     write_dataset(shuffled(kept, seed), f"{folder}/dataset")
     dataset = spark.read.schema(kept.schema).parquet(f"{folder}/dataset")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,10 @@ def local_session(app: str = "cautela", cores: int | str = "*", shuffle_partitio
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
@@ -25,14 +31,21 @@ def local_session(app: str = "cautela", cores: int | str = "*", shuffle_partitio
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a local session gets a scratch folder that goes with the process. Elsewhere that would be a folder
+    other machines cannot see, so it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all machines of the cluster share.")
     scratch = tempfile.mkdtemp(prefix="cautela-checkpoint-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
 

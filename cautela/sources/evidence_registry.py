@@ -14,7 +14,7 @@ REGISTERED = (
     (
         "official_scam_guidance",
         "Reviewed Scam Guidance",
-        "Manually structured and reviewed scam-warning guidance used as primary evidence.",
+        "Advice on typical tricks, checked by a person.",
         ("official_style_guidance", "reviewed", "current", "high", "true", "primary"),
         "false",
         "Malaysia prototype",
@@ -22,7 +22,7 @@ REGISTERED = (
     (
         "verified_domains",
         "Verified Demonstration Domains",
-        "Fictional demonstration domains used to test organisation and domain matching.",
+        "Made-up sender domains for trying out the domain check.",
         ("demonstration", "reviewed", "current", "medium", "true", "domain_demo"),
         "true",
         "Demonstration only",
@@ -30,7 +30,7 @@ REGISTERED = (
     (
         "synthetic_scam_patterns",
         "Synthetic Scam Pattern Library",
-        "Synthetic English and Malay suspicious-message patterns used only as supporting evidence.",
+        "Invented examples in two languages; they support, but do not decide.",
         ("synthetic", "reviewed", "current", "medium", "supporting_only", "pattern_support"),
         "true",
         "Malaysia prototype",
@@ -38,7 +38,7 @@ REGISTERED = (
     (
         "community_reports",
         "Unverified Community Reports",
-        "Sanitised community-style reports, excluded from the trusted risk decision.",
+        "What users sent in, masked and not yet checked.",
         ("community", "unverified", "current", "low", "false", "excluded_until_reviewed"),
         "true",
         "Malaysia prototype",

@@ -4,24 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a file or folder, from the file system's metadata."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.getContentSummary(location).getLength()
-
-
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
     """A table whose rows are expensive to process.
 
-    A small file is a single row group and would be worked on by a single task, so a small input
-    (and only that: the bound is checked) is spread over the cores before the work starts. Large
-    inputs have a row group per task already and are not shuffled.
+    Its tasks follow the files' row groups. ``spread`` deals the rows over so many tasks first; it is for callers who
+    know that their table is a single row group, as the local bench does, and it never looks at sizes.
     """
     df = spark.read.parquet(path)
-    if input_bytes(spark, path) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df if spread is None else df.repartition(spread)

@@ -139,7 +139,7 @@ def test_masks_run_once_per_row(spark, sf):
 def test_catalogue_tables(spark):
     datasets, tags = catalog.dataset_table(spark), catalog.tag_table(spark)
     found = {(r["dataset"], r["tag"]) for r in catalog.tag_rows(datasets, tags, "dataset").collect()}
-    assert found == {(d, t) for d, names in catalog.DATASET_TAGS.items() for t in names} and len(found) == 12
+    assert found == {(d, t) for d, names in catalog.DATASET_TAGS.items() for t in names} and len(found) == 13
     assert all(d.count(".") == 1 for d in catalog.DATASET_TAGS)
     raw = [d for d in catalog.DATASET_TAGS if d.startswith("raw.")]
     registered = datasets.filter("dataset <> 'raw.manual_messages'")

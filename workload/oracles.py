@@ -10,7 +10,7 @@ from __future__ import annotations
 from cautela.operators import evidence as ev
 from cautela.operators import reports as rp
 from cautela.operators import scoring as sc
-from cautela.operators.catalog import TAGS
+from cautela.operators.catalog import DATASET_TAGS, TAGS
 from cautela.operators.model_signal import NOT_LOADED
 from cautela.operators.rules import LINK_RULES, TEXT_RULES
 from cautela.sources import curated, evidence_registry, synthetic
@@ -526,6 +526,24 @@ ORACLES["blank_values"] = (
 
 # Classifier
 
+ORACLES["char_tfidf"] = with_(
+    f"turns AS ({CONVERSATION_MESSAGES})",
+    f"padded AS (SELECT message_id, ' ' || {squeezed('lower(text)')} || ' ' AS p FROM turns)",
+    "sizes(k) AS (VALUES (3), (4), (5))",
+    "windows AS (SELECT message_id, k, p, unnest(range(1, length(p) - k + 2)) AS i FROM padded, sizes WHERE length(p) >= k)",
+    "grams AS (SELECT message_id, substr(p, i, k) AS gram FROM windows WHERE NOT contains(substr(p, i + 1, k - 2), ' '))",
+    "tf AS (SELECT message_id, gram, count(*) AS tf FROM grams GROUP BY ALL)",
+    "n AS (SELECT count(*) AS n FROM turns)",
+    "terms AS (SELECT gram, count(*) AS df, sum(tf) AS total FROM tf GROUP BY gram ORDER BY total DESC, gram LIMIT 60000)",
+    "weights AS (SELECT message_id, gram, (1 + ln(tf)) * (ln((n + 1.0::DOUBLE) / (df + 1)) + 1) AS w FROM tf JOIN terms USING (gram), n)",
+) + (
+    "SELECT message_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY message_id)), 6) AS weight FROM weights"
+)
+ORACLES["training_sizes"] = with_(*KEPT) + (
+    "SELECT source, count(*) AS rows, count(*) FILTER (label = 0) AS legitimate_rows, count(*) FILTER (label = 1) AS suspicious_rows, "
+    "CASE WHEN count(*) < 40 THEN 'too_few_rows' WHEN count(DISTINCT label) < 2 THEN 'not_both_classes' ELSE 'usable' END AS verdict "
+    "FROM kept GROUP BY source"
+)
 ORACLES["word_tfidf"] = with_(
     f"turns AS ({CONVERSATION_MESSAGES})",
     r"tokens AS (SELECT message_id, regexp_extract_all(strip_accents(lower(text)), '[\pL\pN_]{2,}') AS w FROM turns)",
@@ -718,7 +736,10 @@ ORACLES["dataset_tags"] = (
     with_("tags(tag, display_name, description) AS (VALUES " + ", ".join(f"({lit(k)}, {lit(a)}, {lit(b)})" for k, (a, b) in TAGS.items()) + ")")
     + "SELECT dataset, tag, display_name, description FROM (SELECT 'part.' || p_partkey AS dataset, unnest(["
     "CASE WHEN p_size < 25 THEN 'synthetic' ELSE 'public-data' END, "
-    "CASE WHEN p_type = 'ECONOMY' THEN 'training-input' ELSE lower(p_type) END]) AS tag FROM part) JOIN tags USING (tag)"
+    "CASE WHEN p_type = 'ECONOMY' THEN 'training-input' ELSE lower(p_type) END]) AS tag FROM part UNION ALL "
+    "SELECT d, unnest(t) FROM (VALUES "
+    + ", ".join(f"({lit(name)}, {listing(tags)})" for name, tags in DATASET_TAGS.items())
+    + ") seed(d, t)) JOIN tags USING (tag)"
 )
 ORACLES["lineage_edges"] = (
     "SELECT DISTINCT 'raw.' || source AS upstream, 'processed.training_dataset' AS downstream FROM documents "

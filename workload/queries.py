@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.functions import identifiers, masking, text, urls
-from cautela.operators import catalog, classifier, dataset, evidence, features, metrics, model_signal, reports
+from cautela.operators import catalog, classifier, dataset, evidence, features, metrics, model_signal, reports, validation
 from cautela.operators.rules import rule_catalogue
 from cautela.operators.split import stratified_split
 from cautela.operators.validation import message_reject_reason, report_reject_reason
@@ -425,6 +425,21 @@ def word_tfidf(spark, sf):
     return rows.select("message_id", "gram", F.round("weight", 6).alias("weight"))
 
 
+@query
+def char_tfidf(spark, sf):
+    """M2 as rows: weights of the character windows of all conversation turns."""
+    turns = views.conversation_messages(views.read(spark, sf, "conversations"))
+    grams = turns.withColumn("grams", features.char_grams(F.col("text")))
+    rows = features.tfidf_rows(grams, "message_id", "grams", features.CHARACTER_FEATURES)
+    return rows.select("message_id", "gram", F.round("weight", 6).alias("weight"))
+
+
+@query
+def training_sizes(spark, sf):
+    """P6 per source: rows, rows per class, and whether a training run may use them."""
+    return validation.training_size(_kept(spark, sf), by=("source",))
+
+
 @query
 def char_grams(spark, sf):
     """M2: character windows of all benchmark items and order messages, counted."""

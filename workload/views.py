@@ -36,11 +36,13 @@ OPENERS = (
 
 
 TEXT_TABLES = ("benchmark", "conversations", "documents", "orders", "pages")
+#: Tasks over which the bench deals the text tables, each of which is one row group in its small input; None elsewhere.
+SPREAD: int | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     path = f"{sf_dir}/{table}.parquet"
-    return read_texts(spark, path) if table in TEXT_TABLES else spark.read.parquet(path)
+    return read_texts(spark, path, SPREAD) if table in TEXT_TABLES else spark.read.parquet(path)
 
 
 def opener(number: Column) -> Column:
