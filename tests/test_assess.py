@@ -23,31 +23,30 @@ def codes(row):
 
 CASES = [
     (
-        "URGENT: Your bank account will be suspended. Pay RM50 and send your OTP at http://192.0.2.10/login immediately.",
+        "URGENT! Your seller account will be suspended. Pay RM75 today and send your OTP at http://198.51.100.7/check immediately.",
         "High",
         {"urgent_pressure", "threatened_consequence", "payment_request", "credential_request", "ip_address_link"},
     ),
-    ("Please pay RM5 at https://example.com", "Medium", {"payment_request", "contains_link"}),
+    ("Kindly pay RM8 at https://shop.example.org", "Medium", {"payment_request", "contains_link"}),
     (
-        "Visit http://bit.ly/example and https://example.xyz and https://xn--exampl-gva.com",
+        "See http://bit.ly/abc or https://sample.xyz or https://xn--bcher-kva.com",
         "High",
         {"shortened_link", "non_https_link", "watchlist_tld", "punycode_link"},
     ),
     (
-        "Tindakan segera: akaun anda akan dibekukan. Sahkan OTP sekarang juga.",
+        "Balas sekarang juga! Jika lewat, akaun anda akan dibekukan. Sahkan OTP dahulu.",
         "High",
         {"urgent_pressure", "threatened_consequence", "credential_request"},
     ),
     (
-        "Pakej anda ditahan. Buat pemindahan RM5 sebagai yuran pelepasan.",
+        "Bungkusan itu: pakej anda ditahan. Buat pemindahan RM9 hari ini.",
         "Medium",
         {"threatened_consequence", "payment_request"},
     ),
-    ("Hi, our group meeting is in the engineering lab at 3 PM tomorrow.", "Low", set()),
-    ("Mesyuarat projek dipindahkan ke Bilik Seminar B2 pada pukul 2 petang esok.", "Low", set()),
+    ("The reading club meets on the second floor on Friday at six.", "Low", set()),
+    ("Latihan badminton diadakan di dewan sebelah pada hari Khamis.", "Low", set()),
     (
-        "Peringatan rasmi universiti: tarikh akhir urusan yuran pengajian bagi semester ini ialah 25 Julai. "
-        "Sila semak portal pelajar universiti untuk maklumat lanjut.",
+        "Pengumuman perpustakaan: pada bulan Ogos kami dibuka dari jam 9 pagi. Lihat papan kenyataan untuk butiran.",
         "Low",
         set(),
     ),

@@ -711,20 +711,17 @@ def _run_folder(spark):
     return f"{checkpoint_root(spark)}/cautela-run-{uuid.uuid4().hex}"
 
 
-def _table_stream(spark, sf, table):
-    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
-
-
 def _drain(stream_query):
     stream_query.awaitTermination()
 
 
 @query
 def stream_assessments(spark, sf):
-    """ST1: the message stream gives what the batch gives."""
+    """ST1: the message stream, a landing folder of several files, gives what the batch gives."""
     folder = _run_folder(spark)
-    scored = message_streams.assess_stream(views.document_messages(_table_stream(spark, sf, "documents")))
+    landed = views.document_messages(views.read(spark, sf, "documents"))
+    landed.repartition(8).write.parquet(f"{folder}/in")
+    scored = message_streams.assess_stream(spark.readStream.schema(landed.schema).parquet(f"{folder}/in"))
     out = scored.select("message_id", "risk_level", "risk_score", "summary")
     _drain(message_streams.write_assessments(out, f"{folder}/out", f"{folder}/checkpoint"))
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
