@@ -705,11 +705,30 @@ def registry() -> str:
 
 
 ORACLES["registered_sources"] = registry()
-ORACLES["assessment_with_context"] = SCORED + (
-    "SELECT message_id, rule_score AS risk_score, true AS context_available, 'agent_context_kit' AS integration_mode, "
-    f"3::BIGINT AS selected, {lit(evidence_registry.REGISTERED[3][1])} AS first_excluded, "
-    "'Selected 3 evidence source(s): 1 primary and 2 supporting. Excluded 1 source(s) because they did not satisfy the trust policy.' "
-    "AS provenance_summary, CAST(NULL AS VARCHAR) AS context_warning FROM scored"
+# Decisions on the registered sources, from their trust values: approved ones of a known role are used.
+EVIDENCE = ", ".join(
+    f"({i}, {lit(name)}, {lit(trust[1])}, {lit(trust[2])}, {lit(trust[4])}, {lit(trust[5])})"
+    for i, (_, name, _, trust, _, _) in enumerate(evidence_registry.REGISTERED)
+)
+BUNDLE = (
+    f", sources(i, name, review, freshness, allowed, role) AS (VALUES {EVIDENCE}), judged AS (SELECT *, review = 'reviewed' AND "
+    "freshness = 'current' AND allowed IN ('true', 'supporting_only') AS good FROM sources), bundle AS (SELECT count(*) FILTER (good) "
+    "AS selected, count(*) FILTER (good AND role = 'primary') AS main, count(*) FILTER (NOT good) AS excluded, "
+    "min_by(name, i) FILTER (NOT good) AS first_excluded FROM judged), told AS (SELECT *, 'Selected ' || selected || "
+    "' evidence source(s): ' || main || ' primary and ' || (selected - main) || ' supporting. Excluded ' || excluded || "
+    "' source(s) because they did not satisfy the trust policy.' AS sentence FROM bundle)"
+)
+ORACLES["assessment_with_context"] = SCORED + BUNDLE + (
+    " SELECT message_id, rule_score AS risk_score, true AS context_available, 'agent_context_kit' AS integration_mode, selected, "
+    "first_excluded, sentence AS provenance_summary, CAST(NULL AS VARCHAR) AS context_warning FROM scored, told"
+)
+ORACLES["context_resolution"] = SCORED + BUNDLE + (
+    " SELECT case_name, message_id, rule_score AS risk_score, case_name <> 'neither' AS context_available, mode AS integration_mode, "
+    "CASE WHEN case_name = 'neither' THEN 0 ELSE selected END AS selected, CASE WHEN case_name = 'neither' THEN "
+    f"{lit(ev.COULD_NOT_CHECK)} ELSE sentence END AS provenance_summary, warning AS context_warning FROM scored, told, (VALUES "
+    "('first', 'agent_context_kit', NULL), ('fallback', 'python_sdk_fallback', 'The first evidence provider failed, so the fallback "
+    f"was used: Entity ' || {lit(evidence_registry.required_urns()[0])} || ' is missing trust properties: evidence_role'), "
+    "('neither', 'unavailable', 'Both evidence providers failed: offline')) c(case_name, mode, warning)"
 )
 ORACLES["catalog_search"] = (
     "SELECT name, description FROM (SELECT p_name || ' ' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS name, "
@@ -732,6 +751,11 @@ ORACLES["dataset_profiles"] = " UNION ALL ".join(
     f"'PARQUET' AS file_format FROM {t}"
     for t, c in PROFILES.items()
 )
+ORACLES["written_profiles"] = " UNION ALL ".join(
+    f"SELECT {lit(t)} AS name, count(*) AS row_count, {PROFILES[t].count(',') + 1}::BIGINT AS column_count, {lit(PROFILES[t])} AS columns, "
+    f"true AS modified_in_run FROM {t}"
+    for t in ("customer", "documents", "labels", "orders")
+)
 ORACLES["dataset_tags"] = (
     with_("tags(tag, display_name, description) AS (VALUES " + ", ".join(f"({lit(k)}, {lit(a)}, {lit(b)})" for k, (a, b) in TAGS.items()) + ")")
     + "SELECT dataset, tag, display_name, description FROM (SELECT 'part.' || p_partkey AS dataset, unnest(["

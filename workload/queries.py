@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -661,6 +663,26 @@ def assessment_with_context(spark, sf):
     )
 
 
+@query
+def context_resolution(spark, sf):
+    """Every assessment with the bundle of the first provider, of the fallback, and of neither."""
+    registry, required = _registry(spark, sf), evidence_registry.required_urns()
+    bare = registry.withColumn("custom_properties", F.map_filter("custom_properties", lambda k, _: k != "evidence_role"))
+
+    def offline():
+        raise ConnectionError("offline")
+
+    cases = {"first": (lambda: registry, None), "fallback": (lambda: bare, lambda: registry), "neither": (offline, lambda: registry.limit(3))}
+    parts = []
+    for case, (primary, fallback) in cases.items():
+        rows = evidence.attach_context(_assessed(spark, sf), evidence.resolve_context(spark, required, primary, fallback))
+        parts.append(rows.select(
+            F.lit(case).alias("case_name"), "message_id", "risk_score", "context_available", "integration_mode",
+            F.size("selected_evidence").cast("bigint").alias("selected"), "provenance_summary", "context_warning",
+        ))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query
 def catalog_search(spark, sf):
     """A top-20 search over all parts."""
@@ -682,6 +704,22 @@ def dataset_profiles(spark, sf):
     return profile.select("name", "row_count", *_big("column_count"), "columns", "file_format")
 
 
+@query
+def written_profiles(spark, sf):
+    """Profiles of tables that were just written, with a time of modification that lies within the run."""
+    folder, frames = _run_folder(spark), []
+    for table in ("customer", "documents", "labels", "orders"):
+        before = time.time() - 2
+        views.read(spark, sf, table).write.parquet(f"{folder}/{table}")
+        written = spark.read.parquet(f"{folder}/{table}")
+        modified = catalog.last_modified(written).select(
+            F.unix_micros("last_modified_utc").between(int(before * 1e6), int((time.time() + 2) * 1e6))
+        )
+        profile = catalog.dataset_profile(written, table).withColumn("modified_in_run", modified.scalar())
+        frames.append(profile.select("name", "row_count", *_big("column_count"), "columns", "modified_in_run"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 @query
 def dataset_tags(spark, sf):
     """L2: the seed tables, and parts as datasets tagged by type and size; only defined tags survive."""
