@@ -13,7 +13,14 @@ EMAIL_MASK = "[EMAIL]"
 PHONE_OR_ACCOUNT_MASK = "[PHONE_OR_ACCOUNT]"
 
 _URL = rf'(?iu){NOT_AFTER_WORD}(?:https?://|www\.)[^{SPACE_SET}<>"]+'
-_EMAIL = rf"(?iu){BOUNDARY}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{NOT_BEFORE_WORD}"
+# A word boundary, then address characters up to an @. Whether an address follows does not depend on where in a run of
+# such characters it starts, so only the first boundary of a run (or after the last match) is tried: what stands before it
+# is put back. The plain form tries every boundary and takes time with the square of the run.
+_ADDRESS = "[A-Z0-9._%+-]"
+_EMAIL = (
+    rf"(?iu)(?:\G|(?<!{_ADDRESS}))((?:(?!{BOUNDARY}){_ADDRESS})*+){BOUNDARY}{_ADDRESS}++"
+    rf"@[A-Z0-9.-]+\.[A-Z]{{2,}}{NOT_BEFORE_WORD}"
+)
 _PHONE_OR_ACCOUNT = (
     rf"{NOT_AFTER_WORD}\+?\p{{Nd}}[\p{{Nd}}{SPACE_SET}().-]{{6,}}\p{{Nd}}{NOT_BEFORE_WORD}"
 )
@@ -24,7 +31,7 @@ def mask_urls(text: Column) -> Column:
 
 
 def mask_emails(text: Column) -> Column:
-    return F.regexp_replace(text, _EMAIL, EMAIL_MASK)
+    return F.regexp_replace(text, _EMAIL, f"$1{EMAIL_MASK}")
 
 
 def mask_phones_and_accounts(text: Column) -> Column:
@@ -39,8 +46,7 @@ def guard_formula(text: Column) -> Column:
 def sanitise(text: Column) -> Column:
     """All masks in their order, then single spaces, then the formula guard.
 
-    The address pattern scans long runs of address characters again and again; text without an @
-    cannot match and skips it.
+    Text without an @ cannot hold an address and skips that mask.
     """
 
     def finish(masked: Column) -> Column:

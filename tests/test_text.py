@@ -1,10 +1,13 @@
+import random
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
 
-from cautela.functions import text
+from cautela.functions import masking, text
 from cautela.functions.identifiers import name_uuid
 from cautela.functions.masking import guard_formula, sanitise
+from cautela.functions.regexes import BOUNDARY, NOT_BEFORE_WORD
 
 
 def column(spark, values, expression):
@@ -79,3 +82,17 @@ def test_sanitise_masks_and_guards(spark):
     assert column(spark, ["xhttp://a.example 1234567 a12345678 12345678"], sanitise) == [
         "xhttp://a.example 1234567 a12345678 [PHONE_OR_ACCOUNT]".replace("1234567 a12345678", "1234567 a12345678")
     ]
+
+
+def test_email_mask_equals_the_plain_pattern_and_takes_linear_time(spark):
+    pick = random.Random(7)
+    parts = ["a", "B9", ".", "_", "%", "+", "-", "@", "@b.co", "x.yy", " ", "é", "ſ", "K", "..", "@c.d-e.com", "\n"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 14))) for _ in range(6_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = rf"(?iu){BOUNDARY}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{NOT_BEFORE_WORD}"
+    masked = rows.select(masking.mask_emails(F.col("text")).alias("a"), F.regexp_replace("text", plain, "[EMAIL]").alias("b"))
+    assert masked.filter("a <> b").collect() == [] and masked.filter("a like '%[EMAIL]%'").count() > 1_000
+    long = spark.createDataFrame([("a." * 100_000 + " x@y.zz",)], "text string")
+    started = time.time()
+    assert long.select(masking.mask_emails(F.col("text"))).first()[0].endswith(" [EMAIL]")
+    assert time.time() - started < 20
