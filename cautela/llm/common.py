@@ -49,7 +49,7 @@ class Scratch:
         location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
-#: Bits of a pre-filter, in bitmaps of 2^15; 8 MB, however many keys it has seen.
+#: Bits of a pre-filter, in pages of 2^15; 16 MB as arrays of words, however many keys it has seen.
 FILTER_BITS = 1 << 26
 
 
@@ -62,8 +62,15 @@ def prefilter(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
     bitmaps = keys.select(F.shiftright(place, 15).alias("_page"), place.bitwiseAND((1 << 15) - 1).alias("_bit"))
     bitmaps = bitmaps.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    octet = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("1 << cast(_at % 8 as int)").bitwiseAND(octet) != 0
+    # Each page as 32-bit words, so that a look-up is one array access; within a word the first byte is the highest.
+    words = F.transform(
+        F.sequence(F.lit(0), F.lit((1 << 10) - 1)),
+        lambda i: F.conv(F.hex(F.substr(F.col("_bits"), i * 4 + 1, F.lit(4))), 16, 10).cast("long"),
+    )
+    bitmaps = bitmaps.select("_page", words.alias("_words"))
+    shift = F.expr("cast(24 - 8 * (shiftright(_at, 3) & 3) + (_at & 7) as int)")
+    word = F.get(F.col("_words"), F.shiftright("_at", 5).cast("int"))
+    hit = F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1)) == 1
     marked = df.withColumn("_page", F.shiftright(place, 15)).withColumn("_at", place.bitwiseAND((1 << 15) - 1))
     bitmaps = F.broadcast(bitmaps.withColumnRenamed("_page", "_its_page"))
     met = marked.join(bitmaps, (F.col("_page") == F.col("_its_page")) & hit)

@@ -129,12 +129,13 @@ def _alike(pairs: DataFrame, df: DataFrame, signed: DataFrame, scratch: Scratch)
 def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component of the lines that are linked to a smaller line id."""
     rows = signed.select(F.explode("bands").alias("key"), "id", "n")
-    shared = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last"))
-    shared = scratch.save(shared.filter(F.col("lead.id") < F.col("last")).select("key", "lead"))
+    # Two numbers per key, not structs: they are added up in a hash table, without sorting, and are small to shuffle.
+    shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
+    shared = scratch.save(shared.filter(F.col("lead") < F.col("last")).select("key", "lead"))
     members = prefilter(rows, shared.select("key"), "key").distinct().join(shared, "key")
     members = scratch.save(members)
-    stars = members.filter((F.col("id") > F.col("lead.id")) & _fits(F.col("n"), F.col("lead.n")))
-    tried = scratch.save(stars.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct())
+    stars = members.filter(F.col("id") > F.col("lead"))
+    tried = scratch.save(stars.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = scratch.save(_alike(tried, df, signed, scratch))
     labels = components(links, scratch)
 
