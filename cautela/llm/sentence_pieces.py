@@ -31,7 +31,9 @@ from cautela.llm.common import WordMemory, slices
 
 SPACE_MARK = "▁"
 #: Characters of words that are indexed together.
-INDEX_CHARS = 400_000
+INDEX_CHARS = 120_000
+#: Pairs of pieces whose agreement a worker remembers.
+AGREED = 500_000
 BARRIER, NOT_SET = -2, -1
 
 
@@ -74,7 +76,7 @@ class PieceEncoder(WordMemory):
         ends = keys.copy()
         ends[np.arange(self.longest)[None, :] >= self.key_lengths[:, None]] = 0xFFFF
         self.first_keys, self.last_keys = self._keys(keys), self._keys(ends)
-        self.agreed: dict[int, bool] = {}
+        self.agreed: dict[int, bool] = {}  # at most AGREED pairs
         self.single = np.full(model.get_piece_size(), NOT_SET, np.int8)
 
     def _keys(self, codes: np.ndarray) -> np.ndarray:
@@ -132,6 +134,8 @@ class PieceEncoder(WordMemory):
         pairs = left.astype(np.int64) << 20 | right
         distinct, inverse = np.unique(pairs, return_inverse=True)
         found = np.empty(len(distinct), bool)
+        if len(self.agreed) > AGREED:
+            self.agreed.clear()
         for k, pair in enumerate(distinct.tolist()):
             known = self.agreed.get(pair)
             if known is None:
@@ -271,8 +275,13 @@ def decode_pieces(df: DataFrame, model: str, ids: str = "piece_ids", name: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            lists = batch.column("source").to_pylist()
-            texts = [None if x is None else encoder.decode(x) for x in lists]
+            lists = batch.column("source")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            missing = lists.is_null().to_numpy(zero_copy_only=False)
+            texts = [
+                None if gone else encoder.decode(values[a:b].tolist())  # one row's ids at a time as Python numbers
+                for gone, a, b in zip(missing, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", name])
 
     return _with_column(df, ids, name, T.StringType(), run)
