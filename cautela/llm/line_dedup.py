@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash (operator 7), in DataFrame operations only.
 
-A line is compared in lower case with its white space collapsed. Its shingles are the ``SHINGLE`` characters (or what is
-left of the line) from the start of each word on. Their hashes, sorted, fall into 32 ranges; the smallest of each range
+A line is compared in lower case with its white space collapsed. Its shingles are the ``SHINGLE`` characters from each
+character on, so every part of a line counts. Their hashes, sorted, fall into 32 ranges; the smallest of each range
 is the signature (one permutation), neighbouring ranges together are a band. Two lines that share a band are compared with each
 other exactly; links of a Jaccard similarity of at least ``SIMILARITY`` make components by distributed union-find, and of
 each component only the first line - lowest document id, then line number - stays.
@@ -44,7 +44,7 @@ def normal_line(line: Column) -> Column:
 
 def shingle_hashes(line: Column) -> Column:
     """Sorted distinct hashes of the shingles of a normalised line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]++ ?"), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 

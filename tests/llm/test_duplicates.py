@@ -174,3 +174,42 @@ def test_line_dedup_of_odd_rows(odd, none):
     check_lines(rows, frame)
     assert frame.filter("doc_id is null and text is not null").first().text.startswith("a row without")
     assert dedup_lines(none).count() == 0
+
+
+def whole_line_sets(rows):
+    """All character n-grams of every line that takes part."""
+    lines, sets = [], {}
+    for i, text in sorted(rows):
+        for no, line in enumerate(text.split("\n")):
+            key = normal(line)
+            if len(key) >= 10:
+                lines.append((i, no, key))
+                sets.setdefault(key, {key[at : at + 9] for at in range(len(key) - 8)})
+    return lines, sets
+
+
+def check_whole_lines(rows, frame):
+    lines, sets = whole_line_sets(rows)
+    found, kept = linked(sets, 100, 80), {}
+    for i, no, key in lines:
+        kept.setdefault(found.find(key), (i, no))
+    gone = {(i, no) for i, no, key in lines if kept[found.find(key)] != (i, no)}
+    for r in frame.collect():
+        expected = [x for no, x in enumerate(dict(rows)[r.doc_id].split("\n")) if (r.doc_id, no) not in gone]
+        assert r.text == "\n".join(expected), r.doc_id
+    return gone
+
+
+def test_every_character_of_a_line_counts(spark, sf):
+    japanese = "今日はとても良い天気ですから、"
+    texts = [
+        "https://example.org/a/report-2021.html\n2024-01-01t00:00:01z\n" + japanese + "公園まで散歩に行きました。",
+        "https://example.org/b/other.html\n2024-01-09t17:45:59z\n" + japanese + "家で本を読むことにします。",
+        "https://example.org/a/report-2021.html\n" + "x" * 60 + " a\n" + "the same long line of words stands here and there, " * 3,
+        "😀" * 12 + " and a tail\n" + "the same long line of words stands here and there, " * 3 + "x",
+    ]
+    rows = list(enumerate(texts))
+    gone = check_whole_lines(rows, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert gone == {(2, 0), (3, 1)}
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    check_whole_lines([(r.doc_id, r.text) for r in documents.collect()], dedup_lines(documents))
