@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash (operator 7), in DataFrame operations only.
 
 A line is compared in lower case with its white space collapsed. Its shingles are the ``SHINGLE`` characters from each
-character on, so every part of a line counts. Their hashes, sorted, fall into 32 ranges; the smallest of each range
+character on, so every part of a line counts. Their hashes, sorted, fall into 64 ranges; the smallest of each range
 is the signature (one permutation), neighbouring ranges together are a band. Two lines that share a band are compared with each
 other exactly; links of a Jaccard similarity of at least ``SIMILARITY`` make components by distributed union-find, and of
 each component only the first line - lowest document id, then line number - stays.
@@ -28,12 +28,11 @@ from cautela.llm.components import components
 
 SHINGLE, LEAST = 9, 10
 SIMILARITY_PARTS, SIMILARITY_NEEDED = 100, 80
-#: The top five bits of a hash are its range. Layouts of bands over the hashes: how many bands, by how much they are shifted
-#: (a part of a band's width), and below how many shingles a line uses the layout. Short lines have few hashes per band, so
-#: they get wider bands as well; a band with a single hash says little and counts only for lines of up to SINGLE shingles.
-#: Measured on sets with a similarity of just 0.8, no band is shared by 0.5 % of the pairs or fewer (1 % at 8 to 10 shingles).
-RANGE_SHIFT = 59
-LAYOUTS = ((8, 0.0, None), (4, 0.0, 40), (4, 0.5, 16))
+#: The top six bits of a hash are its range. Layouts of bands over the ranges: 2 to the power of what makes a band, by how many
+#: ranges the bands are shifted, and from and below how many shingles a line uses the layout. Short lines have few hashes per
+#: range, so they get wider bands; a band with a single hash says little and counts only for lines of up to SINGLE shingles.
+RANGE_SHIFT, RANGES = 58, 64
+LAYOUTS = ((2, 0, 40, None), (3, 0, 0, 64), (4, 0, 0, 40), (4, 8, 0, 16))
 SINGLE = 7
 
 
@@ -54,47 +53,37 @@ def _lines(df: DataFrame) -> DataFrame:
     return rows.select("doc", "text_key", "no", normal_line(F.col("raw")).alias("line")).filter(F.char_length("line") >= LEAST)
 
 
-def _bands(number: int, bands: int, shift: float) -> Column:
-    """The minima in each band of a layout, as structs with a name of the band."""
-    width = (1 << 64) // bands
+def _range(x: Column) -> Column:
+    """Range of a hash, in the order of signed numbers."""
+    return F.shiftright(x, RANGE_SHIFT) + RANGES // 2
 
-    def part(band: int) -> Column:
-        low = -(1 << 63) + band * width + int(shift * width)
-        high = low + width
-        if high <= 1 << 63:
-            # The lowest and highest bands need one comparison, and their outer edges are no 64-bit numbers.
-            tests = [t for t, needed in ((lambda x: x >= low, low > -(1 << 63)), (lambda x: x < high, high < 1 << 63)) if needed]
-            inside = lambda x: reduce(lambda p, q: p & q, [t(x) for t in tests])
-        else:
-            inside = lambda x: (x >= low) | (x < high - (1 << 64))
-        return F.struct(F.lit(number * 100 + band).alias("band"), F.filter("least", inside).alias("part"))
 
-    return F.array(*(part(band) for band in range(bands)))
+def _bands(df: DataFrame, number: int, width: int, shift: int) -> DataFrame:
+    """Adds ``bands<number>``: a key for each band of a layout, of its name and the minima in it; they lie side by side."""
+    band = lambda x: F.shiftright(_range(x) + shift, width)
+    least, begins = F.col("least"), F.col(f"begins{number}")
+    found = F.transform("least", lambda x, i: F.when((i == 0) | (band(x) != band(F.get(least, i - 1))), i))
+    df = df.withColumn(f"begins{number}", F.array_compact(found))
+
+    def key(begin: Column, j: Column) -> Column:
+        size = F.coalesce(F.get(begins, j + 1), F.size("least")) - begin
+        part = F.slice(least, begin + 1, size)
+        enough = (size > 1) | (F.size("h") <= SINGLE)
+        return F.when(enough, F.xxhash64(F.lit(number * 100) + band(F.get(least, begin)), part))
+
+    return df.withColumn(f"bands{number}", F.array_compact(F.transform(begins, key)))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
     """Line id (64-bit hash), number of shingles and band keys instead of the line."""
     hashed = lines.withColumn("h", shingle_hashes(F.col("line")))
-    at = lambda x: F.shiftrightunsigned(x, RANGE_SHIFT)
-    least = hashed.withColumn(
-        "least",
-        F.filter("h", lambda x, i: (i == 0) | (at(x) != at(F.get(F.col("h"), i - 1)))),
-    )
-    n, none = F.size("h"), F.array().cast("array<struct<band:int,part:array<bigint>>>")
-    layouts = []
-    for number, (bands, shift, below) in enumerate(LAYOUTS):
-        parts = _bands(number, bands, shift)
-        layouts.append(parts if below is None else F.when(n < below, parts).otherwise(none))
-    least_size = F.when(n <= SINGLE, 1).otherwise(2)
-    keyed = least.withColumn("bands", F.filter(F.concat(*layouts), lambda b: F.size(b["part"]) >= least_size))
-    return keyed.select(
-        "doc",
-        "text_key",
-        "no",
-        F.xxhash64("line").alias("id"),
-        F.size("h").alias("n"),
-        F.transform("bands", lambda b: F.xxhash64(b["band"], b["part"])).alias("bands"),
-    )
+    keyed = hashed.withColumn("least", F.filter("h", lambda x, i: (i == 0) | (_range(x) != _range(F.get(F.col("h"), i - 1)))))
+    n, none, layouts = F.size("h"), F.array().cast("array<bigint>"), []
+    for number, (width, shift, least, below) in enumerate(LAYOUTS):
+        keyed = _bands(keyed, number, width, shift)
+        used = (n >= least) if below is None else (n >= least) & (n < below)
+        layouts.append(F.when(used, F.col(f"bands{number}")).otherwise(none))
+    return keyed.select("doc", "text_key", "no", F.xxhash64("line").alias("id"), n.alias("n"), F.concat(*layouts).alias("bands"))
 
 
 def _fits(x: Column, y: Column) -> Column:

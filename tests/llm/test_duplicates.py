@@ -213,3 +213,13 @@ def test_every_character_of_a_line_counts(spark, sf):
     assert gone == {(2, 0), (3, 1)}
     documents = table(spark, sf, "documents").select("doc_id", "text")
     check_whole_lines([(r.doc_id, r.text) for r in documents.collect()], dedup_lines(documents))
+
+
+def test_long_lines_at_the_similarity_meet(spark):
+    pick, alphabet, lines = random.Random(3), [chr(0x4E00 + i) for i in range(5_000)], []
+    for _ in range(400):
+        line = [pick.choice(alphabet) for _ in range(208)]
+        other = line[:180] + [pick.choice(alphabet) for _ in range(20)]
+        lines += ["".join(line[:200]), "".join(other)]
+    rows = [(0, "\n".join(lines))]
+    assert len(check_whole_lines(rows, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))) >= 400
