@@ -11,8 +11,8 @@ each component only the first line - lowest document id, then line number - stay
 * Copies of a line have one hash and are one node: a line that makes up a third of all rows is one key, pre-aggregated
   before each shuffle. Line texts are not shuffled but for those that a candidate pair needs.
 
-A null text stays null and has no lines; blank lines and lines of fewer than ``LEAST`` characters stay; rows without id
-keep all their lines; rows that repeat both id and text count as one and are treated alike; ids that repeat with other
+A null text stays null and has no lines; blank lines stay; lines of fewer than ``LEAST`` characters are alike only if they
+are equal; rows without id keep all their lines; rows that repeat both id and text count as one and are treated alike; ids that repeat with other
 texts are different documents. Extra columns are passed through. An empty table gives no rows.
 """
 
@@ -50,7 +50,7 @@ def shingle_hashes(line: Column) -> Column:
 def _lines(df: DataFrame) -> DataFrame:
     """doc, text_key, no and normalised line of every line that takes part."""
     rows = df.filter(F.col("doc").isNotNull()).select("doc", "text_key", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return rows.select("doc", "text_key", "no", normal_line(F.col("raw")).alias("line")).filter(F.char_length("line") >= LEAST)
+    return rows.select("doc", "text_key", "no", normal_line(F.col("raw")).alias("line")).filter("line != ''")
 
 
 def _range(x: Column) -> Column:
@@ -76,9 +76,11 @@ def _bands(df: DataFrame, number: int, width: int, shift: int) -> DataFrame:
 
 def _signed(lines: DataFrame) -> DataFrame:
     """Line id (64-bit hash), number of shingles and band keys instead of the line."""
-    hashed = lines.withColumn("h", shingle_hashes(F.col("line")))
+    none = F.array().cast("array<bigint>")
+    long = F.char_length("line") >= LEAST
+    hashed = lines.withColumn("h", F.when(long, shingle_hashes(F.col("line"))).otherwise(none))
     keyed = hashed.withColumn("least", F.filter("h", lambda x, i: (i == 0) | (_range(x) != _range(F.get(F.col("h"), i - 1)))))
-    n, none, layouts = F.size("h"), F.array().cast("array<bigint>"), []
+    n, layouts = F.size("h"), []
     for number, (width, shift, least, below) in enumerate(LAYOUTS):
         keyed = _bands(keyed, number, width, shift)
         used = (n >= least) if below is None else (n >= least) & (n < below)

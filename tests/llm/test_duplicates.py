@@ -177,14 +177,14 @@ def test_line_dedup_of_odd_rows(odd, none):
 
 
 def whole_line_sets(rows):
-    """All character n-grams of every line that takes part."""
+    """All character n-grams of every line that takes part; a short line is alike only to its equals."""
     lines, sets = [], {}
     for i, text in sorted(rows):
         for no, line in enumerate(text.split("\n")):
             key = normal(line)
-            if len(key) >= 10:
+            if key:
                 lines.append((i, no, key))
-                sets.setdefault(key, {key[at : at + 9] for at in range(len(key) - 8)})
+                sets.setdefault(key, {key[at : at + 9] for at in range(len(key) - 8)} if len(key) >= 10 else {(key,)})
     return lines, sets
 
 
@@ -223,3 +223,10 @@ def test_long_lines_at_the_similarity_meet(spark):
         lines += ["".join(line[:200]), "".join(other)]
     rows = [(0, "\n".join(lines))]
     assert len(check_whole_lines(rows, dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))) >= 400
+
+
+def test_short_lines_are_alike_if_equal(spark):
+    rows = [(1, "Yes.\n\n  \nNo\n123456789\n1234567890"), (2, "yes.\n\nyes\nNO \n1 2 3\n1111111111"), (3, "\n1  2 3\nyes,\n111111111\n")]
+    found = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].text for i in (1, 2, 3)] == [rows[0][1], "\nyes\n1 2 3\n1111111111", "\nyes,\n111111111\n"]
+    assert [found[i].line_dedup.n_removed for i in (1, 2, 3)] == [0, 2, 1]
