@@ -8,7 +8,8 @@ packing with the least total cost is taken. A longer document is cut into full s
 Documents are dealt at random over shards of about ``SHARD_ITEMS`` pieces, packed independently; only a shard's last bins
 are worse for it. The number of shards follows from the number of pieces.
 
-A text takes its tokens and one end id, so null and empty texts take one place; rows without id are packed as well;
+A text takes the ids that operator 6 writes for it, its end id among them, so cuts and capacities hold for the encoded text
+and null and empty texts take one place; rows without id are packed as well;
 repeated rows are packed each; equal lengths go in the order of the stored lengths. Other columns are not read; an empty
 table gives no rows.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cautela.llm.common import Scratch
-from cautela.llm.token_counts import count_tokens
+from cautela.llm.token_files import encoded_lengths
 
 SIZES = (1024, 2048, 4096, 8192)
 #: Cost of a sequence: its length, its square over SQUARE_OVER (what attention adds) and a fixed part.
@@ -98,9 +99,8 @@ def pack_lengths(lengths: DataFrame, scratch: Scratch, sizes: tuple[int, ...] =
 
 
 def pack_documents(
-    df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES
+    df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES
 ) -> DataFrame:
     """doc_id, piece, n_tokens, bin_id, start (within the bin) and capacity of every piece of every whole text."""
-    named = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lengths = count_tokens(named, vocabulary).select("doc_id", (F.col("n_tokens") + 1).alias("length"))
-    return pack_lengths(lengths, Scratch(df.sparkSession, "packing"), sizes)
+    named = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return pack_lengths(encoded_lengths(named, tokenizer), Scratch(df.sparkSession, "packing"), sizes)

@@ -109,6 +109,19 @@ def encode_ids(df: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     return df.select("seq", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def encoded_lengths(df: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and length (number of ids with the end id) of rows (doc_id, text), as ``encode_ids`` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer)
+        for batch in slices(batches, "text"):
+            found = encoder.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
+            lengths = pa.array([len(x) // 4 + 1 for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lengths], ["doc_id", "length"])
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, length long")
+
+
 def write_token_files(
     df: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0
 ) -> None:

@@ -12,6 +12,7 @@ from cautela.llm.language_id import UNKNOWN, fit_kernel_model, held_out, identif
 from cautela.llm.packing import SIZES, cost, pack, pack_documents, pack_lengths, pack_once
 from cautela.llm.personal_data import KINDS, find_personal_data, fit_spans, mask_personal_data, written
 from cautela.llm.queries import BYTE_BPE, QUERIES
+from cautela.llm.token_files import token_index, write_token_files
 
 PLAIN = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -160,6 +161,23 @@ def test_packing_of_tables(spark, odd, none):
     assert pack_documents(none, BYTE_BPE).count() == 0
 
 
+def test_packed_lengths_are_those_of_the_ids(spark, sf, odd, tmp_path):
+    texts = [(20_000, "a\n\n  b\t\tc 123 x.y,z 'tis\n" * 900), (20_001, "word\n" * 9_000), (20_002, "\u4e2d\u6587 \U0001f600" * 50)]
+    frame = table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
+    for n, rows in enumerate((frame, odd.select("doc_id", "text"))):
+        write_token_files(rows, str(tmp_path / str(n)), BYTE_BPE)
+        written_ids = sorted((r.doc_id or -1, r.n_tokens) for r in token_index(spark, str(tmp_path / str(n))).collect())
+        packed, filled, capacity, total = pack_documents(rows, BYTE_BPE).collect(), {}, {}, {}
+        for r in packed:
+            filled[r.bin_id] = filled.get(r.bin_id, 0) + r.n_tokens
+            capacity[r.bin_id] = r.capacity
+            total[r.doc_id or -1] = total.get(r.doc_id or -1, 0) + r.n_tokens
+        expected = {}
+        for i, n_tokens in written_ids:
+            expected[i] = expected.get(i, 0) + n_tokens
+        assert total == expected and all(filled[b] <= capacity[b] for b in filled)
+
+
 def test_pipeline(spark, sf):
     documents, scratch = table(spark, sf, "documents"), Scratch(spark, "test")
     docs = documents
