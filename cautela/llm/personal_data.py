@@ -45,11 +45,11 @@ IP_RANGE = rf"^(?=[0-9])(?:{_OCTET}\.){{3}}{_OCTET}$"
 WIDE_PHONE = r"\+?[0-9]{0,3}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"
 WIDE_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"
 WIDE_EMAIL = (
-    rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]{{1,63}}){{1,4}}"
+    rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\[at\]|\(at\))\x20?{_LABEL}++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?){_LABEL}++)++"
 )
 KEY_NAMES = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "apikey", "api-key", "access_key")
 WIDE_SECRET = (
-    rf"(?:(?<![A-Za-z0-9])(?:{'|'.join(KEY_NAMES)})[\x20]{{0,2}}[=:][\x20]{{0,2}}[\"']?[A-Za-z0-9+/_.-]{{8,200}}+[\"']?"
+    rf"(?:(?<![A-Za-z0-9])(?:{'|'.join(KEY_NAMES)})[\x20]{{0,2}}[=:][\x20]{{0,2}}[\"']?[A-Za-z0-9+/_.-]{{8,}}+[\"']?"
     r"|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
 )
 WIDE = f"{WIDE_PHONE}|{WIDE_CARD}|{WIDE_EMAIL}|(?i:{WIDE_SECRET})"

@@ -178,6 +178,14 @@ def test_packed_lengths_are_those_of_the_ids(spark, sf, odd, tmp_path):
         assert total == expected and all(filled[b] <= capacity[b] for b in filled)
 
 
+def test_long_secrets_and_addresses_are_whole(spark):
+    token, address = "aB3_" * 250, "n" * 100 + " (at) a.b.c.d.e.f." + "g" * 80 + ".com"
+    rows = [(1, f"token={token} end"), (2, f"write to {address} now"), (3, f"api_key: '{token}.{token}.{token}'\nend")]
+    rows += [(i, f"secret password=ab{i}cd34ef56 and so on") for i in range(10, 40)]
+    masked = {r.doc_id: r.text for r in mask_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [masked[i] for i in (1, 2, 3)] == ["<secret> end", "write to <email> now", "<secret>\nend"]
+
+
 def test_pipeline(spark, sf):
     documents, scratch = table(spark, sf, "documents"), Scratch(spark, "test")
     docs = documents
