@@ -136,34 +136,11 @@ def normal(line):
     return re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ").lower()
 
 
-def check_lines(rows, frame):
-    first, sets = [], {}
-    for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        for no, line in enumerate(text.split("\n")):
-            key = normal(line)
-            if len(key) >= 10:
-                first.append((i, no, key))
-                sets.setdefault(key, {key[m.start() : m.start() + 9] for m in re.finditer(r"(?<![^ ])(?=.)", key)})
-    found, kept = linked(sets, 100, 80), {}
-    for i, no, key in first:
-        kept.setdefault(found.find(key), (i, no))
-    gone = {(i, no) for i, no, key in first if kept[found.find(key)] != (i, no)}
-    for r in frame.collect():
-        text = dict(rows).get(r.doc_id) if r.doc_id is not None else r.text
-        if text is None:
-            assert r.text is None
-        elif r.doc_id is not None:
-            lines = text.split("\n")
-            assert r.text == "\n".join(x for no, x in enumerate(lines) if (r.doc_id, no) not in gone), r.doc_id
-            assert r.line_dedup.n_lines == len(lines)
-            assert r.line_dedup.n_removed == sum((r.doc_id, no) in gone for no in range(len(lines)))
-
-
 def test_line_dedup(spark, sf):
     documents = table(spark, sf, "documents")
     frame = dedup_lines(documents)
     assert frame.columns == [*documents.columns, "line_dedup"]
-    check_lines([(r.doc_id, r.text) for r in documents.collect()], frame)
+    check_whole_lines([(r.doc_id, r.text) for r in documents.collect()], frame)
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
@@ -171,7 +148,7 @@ def test_line_dedup_of_odd_rows(odd, none):
     rows = sorted({(r.doc_id, r.text) for r in odd.filter("doc_id is not null").collect()}, key=lambda r: r[0])
     frame = dedup_lines(odd)
     assert frame.count() == odd.count() and frame.select("row", "gone", "key", "id").distinct().count() == 1
-    check_lines(rows, frame)
+    check_whole_lines(rows, frame.filter("doc_id is not null"))
     assert frame.filter("doc_id is null and text is not null").first().text.startswith("a row without")
     assert dedup_lines(none).count() == 0
 
@@ -179,8 +156,8 @@ def test_line_dedup_of_odd_rows(odd, none):
 def whole_line_sets(rows):
     """All character n-grams of every line that takes part; a short line is alike only to its equals."""
     lines, sets = [], {}
-    for i, text in sorted(rows):
-        for no, line in enumerate(text.split("\n")):
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        for no, line in enumerate(text.split("\n") if text is not None else []):
             key = normal(line)
             if key:
                 lines.append((i, no, key))
@@ -194,9 +171,15 @@ def check_whole_lines(rows, frame):
     for i, no, key in lines:
         kept.setdefault(found.find(key), (i, no))
     gone = {(i, no) for i, no, key in lines if kept[found.find(key)] != (i, no)}
+    texts = dict(rows)
     for r in frame.collect():
-        expected = [x for no, x in enumerate(dict(rows)[r.doc_id].split("\n")) if (r.doc_id, no) not in gone]
+        if texts[r.doc_id] is None:
+            assert r.text is None and tuple(r.line_dedup) == (0, 0)
+            continue
+        whole = texts[r.doc_id].split("\n")
+        expected = [x for no, x in enumerate(whole) if (r.doc_id, no) not in gone]
         assert r.text == "\n".join(expected), r.doc_id
+        assert tuple(r.line_dedup) == (len(whole), len(whole) - len(expected))
     return gone
 
 
