@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +17,8 @@ from cautela.llm.token_counts import count_tokens
 from cautela.llm.token_files import token_index, write_token_files
 from cautela.llm.tree_search import exact_top_k
 
-#: Vocabulary files lie outside the repository; every node has them under the same folder.
-TOKENIZERS = os.environ.get("CAUTELA_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECE_BPE = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: Names of public tokenizer files, which every machine finds for itself; an absolute path would do as well.
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cautela.llm.common import WordMemory, slices
+from cautela.llm.common import WordMemory, slices, vocabulary_file
 
 SPACE_MARK = "▁"
 #: Characters of words that are indexed together.
@@ -44,7 +44,7 @@ class PieceEncoder(WordMemory):
         super().__init__()
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(path))
         self.pieces: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.byte_ids = [0] * 256

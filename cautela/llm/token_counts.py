@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cautela.llm.common import slices, utf8, word_bounds
+from cautela.llm.common import slices, utf8, vocabulary_file, word_bounds
 
 POPPED_SHIFT = 24
 STATE_MASK = (1 << POPPED_SHIFT) - 1
@@ -151,7 +151,7 @@ def byte_stand_ins() -> list[str]:
 def byte_level_vocabulary(path: str) -> list[bytes]:
     """Pieces of a byte-level vocabulary file as bytes."""
     decode = {c: b for b, c in enumerate(byte_stand_ins())}
-    with open(path, encoding="utf-8") as file:
+    with open(vocabulary_file(path), encoding="utf-8") as file:
         model = json.load(file)
     special = {t["content"] for t in model.get("added_tokens", [])}
     return [bytes(decode[c] for c in piece) for piece in model["model"]["vocab"] if piece not in special]

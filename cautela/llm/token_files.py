@@ -11,8 +11,8 @@ other columns are not stored. An empty table gives no rows.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cautela.llm.common import WordMemory, slices
+from cautela.llm.common import WordMemory, slices, vocabulary_file
 from cautela.llm.token_counts import byte_stand_ins
 
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 64 << 20, 1000, 0.01
 SCHEMA = "seq long, doc_id long, ids array<int>"
 #: Marks that, at a word's end, are a pre-token of their own.
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?"
 #: The vocabulary's printable stand-ins of bytes.
 PRINTABLE = dict(enumerate(byte_stand_ins()))
+GAP = PRINTABLE[ord(" ")]
 #: Words encoded in one call.
 CALL_WORDS = 2_000
 
@@ -38,7 +39,8 @@ class WordEncoder(WordMemory):
     """Encodes texts with the tokenizers library, each different word once.
 
     The pre-tokenizer of byte-level vocabularies always cuts before a single space and around a single line break
-    that stand between other characters. Texts with no other white space are cut there; the rest go in whole.
+    that stand between other characters. Texts with no other white space and no added token are cut there; the rest go in
+    whole.
     """
 
     def __init__(self, path: str):
@@ -46,34 +48,42 @@ class WordEncoder(WordMemory):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(vocabulary_file(path))
+        #: Added tokens, which the library finds in a text before it is cut into words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)  # each word comes once, looking it up is in vain
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _word(self, letters: str) -> bytes:
-        """A single pre-token, which needs the model only."""
-        ids = [t.id for t in self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(PRINTABLE))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """A single pre-token of letters and perhaps a space before them, which needs the model only."""
+        if letters.isascii():  # letters stand for themselves
+            printable = GAP + letters[1:] if letters[0] == " " else letters
+        else:
+            printable = letters.encode().decode("latin-1").translate(PRINTABLE)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(printable)]).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        rest = []
+        rest, known, marks = [], self.known, self.marks
         for word in words:
-            body = word[1:] if word[0] == " " else word
-            if body.isalpha():
-                self.known[word] = self._word(word)
-            elif body[:-1].isalpha() and body[-1] in MARKS:  # the pre-tokenizer cuts between letters and marks
-                stem = self.known.get(word[:-1]) or self._word(word[:-1])
-                self.known[word[:-1]] = stem
-                self.known[word] = stem + self._word(word[-1])
+            letters = word[1:] if word[0] == " " else word
+            if letters.isalpha():
+                if word not in known:
+                    known[word] = self._word(word)
+            elif letters[-1:] in marks and letters[:-1].isalpha():  # the pre-tokenizer cuts between letters and marks
+                stem = word[:-1]
+                ids = known.get(stem)
+                if ids is None:
+                    ids = known[stem] = self._word(stem)
+                known[word] = ids + marks[word[-1]]
             else:
                 rest.append(word)
         for start in range(0, len(rest), CALL_WORDS):
             part = rest[start : start + CALL_WORDS]
-            self.known.update(zip(part, self._ids(part), strict=True))
+            known.update(zip(part, self._ids(part), strict=True))
 
     def whole(self, text: str) -> bytes:
         return self._ids([text])[0]
@@ -85,6 +95,8 @@ class WordEncoder(WordMemory):
         flat = text.replace("\n", " ")
         if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":
             return None  # a space is the only white space that counts as printable
+        if any(token in text for token in self.added):
+            return None
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
@@ -158,10 +170,10 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
                 ["seq", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    rows = read_token_files(spark, path).mapInArrow(digest, "seq long, doc_id long, n_tokens long, ids_crc32 long")
-    rows = rows.withColumn("part", F.shiftright("seq", 33))
+    part, stored = F.shiftright("seq", 33).alias("part"), read_token_files(spark, path)
+    rows = stored.mapInArrow(digest, "seq long, doc_id long, n_tokens long, ids_crc32 long").select("*", part)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    ranges = stored.groupBy(part).agg(F.sum(F.size("ids").cast("long")).alias("total"))
     offsets = ranges.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     counted = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cautela.llm.common import table, utf8, word_bounds
+from cautela.llm.common import table, utf8, vocabulary_file, word_bounds
 from cautela.llm.queries import BYTE_BPE, PIECE_BPE
 from cautela.llm.sentence_pieces import PieceEncoder, decode_pieces, encode_pieces
 from cautela.llm.token_counts import Automaton, byte_level_automaton, byte_level_vocabulary, count_tokens
@@ -80,9 +80,8 @@ def mixtures(n):
 
 
 def test_word_encoder_equals_the_library():
-    tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
-    texts = mixtures(1_500) + ["<|endoftext|> x", "one two\nthree, four."]
+    tokenizer = Tokenizer.from_file(vocabulary_file(BYTE_BPE))
+    texts = mixtures(1_500) + ["<|endoftext|> x", "abc <|endoftext|> def\na<|endoftext|>b", "one two\nthree, four."]
     expected = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
     encoder = WordEncoder(BYTE_BPE)
     assert encoder.encode(texts) == expected and encoder.encode(texts) == expected
@@ -91,7 +90,7 @@ def test_word_encoder_equals_the_library():
 def test_piece_encoder_equals_the_library():
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(PIECE_BPE))
     encoder, texts = PieceEncoder(PIECE_BPE), mixtures(1_500)
     found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
     assert found == model.encode(texts)
@@ -101,7 +100,7 @@ def test_piece_encoder_equals_the_library():
 def test_pieces_of_tables(spark, sf, odd, none):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(PIECE_BPE))
     for r in encode_pieces(table(spark, sf, "documents"), PIECE_BPE).collect():
         assert r.piece_ids == model.encode(r.text)
     found = decode_pieces(encode_pieces(odd, PIECE_BPE), PIECE_BPE)
@@ -112,7 +111,7 @@ def test_pieces_of_tables(spark, sf, odd, none):
 
 
 def test_token_files_round_trip(spark, sf, odd, none, tmp_path):
-    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    tokenizer = Tokenizer.from_file(vocabulary_file(BYTE_BPE))
     documents, path = table(spark, sf, "documents"), str(tmp_path / "ids")
     write_token_files(documents, path, BYTE_BPE)
     index, stored = {r.doc_id: r for r in token_index(spark, path).collect()}, read_token_files(spark, path)
