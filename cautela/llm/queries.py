@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.llm.common import Scratch, table
+from cautela.llm.conversation_repair import audits, damage_conversations, repair_digests
 from cautela.llm.language_id import held_out, identify, learn_languages
 from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
@@ -87,6 +88,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damage_conversations(conversations)
+    found = audits(rows, conversations.select(F.col("conv_id").alias("conv")), Scratch(spark, "repair"))
+    return repair_digests(rows, found).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
@@ -98,6 +106,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
