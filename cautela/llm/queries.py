@@ -17,6 +17,7 @@ from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
 from cautela.llm.token_files import token_index, write_token_files
 from cautela.llm.tree_search import exact_top_k
+from cautela.llm.whitening import whiten
 
 #: Names of public tokenizer files, which every machine finds for itself; an absolute path would do as well.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -95,6 +96,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(rows, found).withColumnRenamed("conv", "conv_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), k=32)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
@@ -107,6 +112,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
