@@ -12,6 +12,7 @@ from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
 from cautela.llm.packing import pack_documents
 from cautela.llm.personal_data import BASE_PATTERNS, KINDS, find_personal_data, written
+from cautela.llm.quality_rules import cutoffs, measure, verdicts
 from cautela.llm.sentence_pieces import decode_pieces, encode_pieces
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
@@ -100,6 +101,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), k=32)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = Scratch(spark, "quality").save(measure(table(spark, sf_dir, "documents")))
+    judged = verdicts(measured, cutoffs(measured, table(spark, sf_dir, "labels")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
@@ -113,6 +121,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_quality_rules": op13_quality_rules,
 }
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
