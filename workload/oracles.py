@@ -557,6 +557,87 @@ ORACLES["word_tfidf"] = with_(
 ) + (
     "SELECT message_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY message_id)), 6) AS weight FROM weights"
 )
+
+
+def feature_ctes(words: int, characters: int) -> list[str]:
+    """Both blocks of TF-IDF weights over all messages, in long form."""
+
+    def top(block: str, most: int, most_df: str) -> str:
+        return (
+            f"SELECT block, gram, df, ln((n + 1.0::DOUBLE) / (df + 1)) + 1 AS idf FROM counted, n WHERE block = '{block}' AND df <= {most_df} "
+            f"QUALIFY row_number() OVER (ORDER BY total DESC, gram) <= {most}"
+        )
+
+    return [
+        MESSAGES,
+        r"tokens AS (SELECT message_id, regexp_extract_all(strip_accents(lower(text)), '[\pL\pN_]{2,}') AS w FROM messages)",
+        "pairs AS (SELECT message_id, unnest(w[:len(w)-1]) AS a, unnest(w[2:]) AS b FROM tokens)",
+        r"spaced AS (SELECT message_id, w, count(*) AS c FROM (SELECT message_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w "
+        "FROM messages) WHERE w <> '' GROUP BY ALL)",
+        "sized AS (SELECT w, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS k FROM (SELECT DISTINCT w FROM spaced))",
+        "windows AS (SELECT w, substr(p, CAST(unnest(range(1, length(p) - k + 2)) AS BIGINT), k) AS gram FROM sized WHERE length(p) >= k)",
+        "grams AS (SELECT message_id, 'word' AS block, unnest(w) AS gram, 1 AS c FROM tokens "
+        "UNION ALL SELECT message_id, 'word', a || ' ' || b, 1 FROM pairs "
+        "UNION ALL SELECT message_id, 'char', gram, c FROM spaced JOIN windows USING (w))",
+        "tf AS (SELECT message_id, block, gram, sum(c) AS tf FROM grams GROUP BY ALL)",
+        "n AS (SELECT count(*) AS n FROM messages)",
+        "counted AS (SELECT block, gram, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL)",
+        f"known AS ({top('word', words, 'n * 0.995::DOUBLE')} UNION ALL {top('char', characters, 'n')})",
+        "raw AS (SELECT message_id, block, gram, (1 + ln(tf)) * idf AS w FROM tf JOIN known USING (block, gram))",
+        "weights AS (SELECT message_id, block, gram, w / sqrt(sum(w * w) OVER (PARTITION BY message_id, block)) AS weight FROM raw)",
+    ]
+
+
+ORACLES["feature_vocabulary"] = with_(*feature_ctes(50_000, 60_000)) + "SELECT block, gram, df, round(idf, 6) AS idf FROM known"
+GIVEN = "(CAST('0x' || substr(md5(gram), 1, 4) AS BIGINT) % 2001 - 1000) / 500.0::DOUBLE"
+ORACLES["feature_vectors"] = with_(*feature_ctes(50_000, 60_000)) + (
+    "SELECT message_id, block, count(*) AS entries, round(sum(weight), 6) AS weight, "
+    f"round(sum(weight * {GIVEN}), 6) AS by_gram FROM weights WHERE weight <> 0 GROUP BY ALL"
+)
+ORACLES["linear_scores"] = with_(
+    *feature_ctes(50_000, 60_000),
+    f"given AS (SELECT block, gram, {GIVEN} AS c FROM known)",
+    "sums AS (SELECT message_id, 0.25::DOUBLE + coalesce(sum(weight * c), 0) AS z FROM messages LEFT JOIN weights USING (message_id) "
+    "LEFT JOIN given USING (block, gram) GROUP BY message_id)",
+    "scored AS (SELECT message_id, 1 / (1 + exp(-z)) AS p FROM sums)",
+) + (
+    "SELECT message_id, CASE WHEN p >= 0.5 THEN 'suspicious' ELSE 'legitimate' END AS predicted_label, "
+    "round(p, 4) AS suspicious_probability, round(greatest(p, 1 - p), 4) AS confidence, "
+    "CASE WHEN p >= 0.9 THEN 30 WHEN p >= 0.75 THEN 20 WHEN p >= 0.55 THEN 10 ELSE 0 END AS score_contribution FROM scored"
+)
+
+
+def logistic_weights(words: int, characters: int) -> str:
+    """The minimum of the objective by accelerated gradient steps: one step per level of the recursion."""
+    size = words + characters + 1
+    ones = ", ".join(["0.0::DOUBLE"] * size)
+    slopes = ", ".join(f"sum(share * (1 / (1 + exp(-list_dot_product(z, x))) - label) * x[{i}])" for i in range(1, size + 1))
+    return "WITH RECURSIVE " + ",\n".join(
+        [
+            *feature_ctes(words, characters),
+            f"numbered AS (SELECT *, row_number() OVER (ORDER BY block DESC, gram) AS j FROM known)",
+            "classes AS (SELECT label, n / (2.0::DOUBLE * count(*)) AS class_weight FROM messages, n GROUP BY label, n)",
+            "entries AS (SELECT message_id, j, weight FROM weights JOIN numbered USING (block, gram))",
+            f"maps AS (SELECT message_id, map_from_entries(list((j, weight))) AS m FROM entries GROUP BY message_id)",
+            f"vectors AS (SELECT label, list_transform(range(1, {size + 1}), lambda j: CASE WHEN j = {size} THEN 1.0::DOUBLE "
+            "ELSE coalesce(m[j], 0.0::DOUBLE) END) AS x FROM messages LEFT JOIN maps USING (message_id))",
+            "groups AS MATERIALIZED (SELECT label, x, count(*) * any_value(class_weight) / any_value(n) AS share FROM vectors JOIN classes USING (label), n "
+            "GROUP BY label, x)",
+            "rates AS MATERIALIZED (SELECT 1 / (2.0::DOUBLE * n) AS penalty, 1 / (0.75 + 1 / (2.0::DOUBLE * n)) AS step, "
+            "sqrt((1 / (2.0::DOUBLE * n)) / (0.75 + 1 / (2.0::DOUBLE * n))) AS root FROM n)",
+            f"fit AS (SELECT 0 AS k, [{ones}] AS w, [{ones}] AS z UNION ALL "
+            "SELECT k + 1, after, list_transform(list_zip(after, w), lambda e: e[1] + (1 - root) / (1 + root) * (e[1] - e[2])) FROM ("
+            f"SELECT k, w, root, list_transform(range(1, {size + 1}), lambda j: z[j] - step * (g[j] + CASE WHEN j < {size} THEN penalty * z[j] ELSE 0 END)) AS after "
+            f"FROM (SELECT k, any_value(w) AS w, any_value(z) AS z, [{slopes}] AS g FROM fit, groups WHERE k < 4000 GROUP BY k), rates))",
+            "last AS (SELECT w FROM fit ORDER BY k DESC LIMIT 1)",
+        ]
+    ) + (
+        "\nSELECT block, gram, round(w[j], 3) AS coefficient FROM numbered, last "
+        f"UNION ALL SELECT 'intercept', '', round(w[{size}], 3) FROM last"
+    )
+
+
+ORACLES["logistic_weights"] = logistic_weights(6, 4)
 ORACLES["char_grams"] = with_(
     MESSAGES,
     "items AS (SELECT text FROM benchmark UNION ALL SELECT text FROM messages)",

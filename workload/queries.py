@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from functools import reduce
@@ -436,6 +437,71 @@ def char_tfidf(spark, sf):
     return rows.select("message_id", "gram", F.round("weight", 6).alias("weight"))
 
 
+#: Word and character features of the small model whose weights the SQL finds as well.
+SMALL_MODEL = (6, 4)
+
+
+def _grams(rows):
+    return features.with_word_grams(rows, "text", "word_grams").withColumn("char_grams", features.char_grams(F.col("text")))
+
+
+@query
+def feature_vocabulary(spark, sf):
+    """M1, M2: both vocabularies of all messages at their caps, with document frequencies and idf."""
+    rows, blocks = _grams(views.messages(spark, sf)), []
+    for block, most, share in (
+        ("word", features.WORD_FEATURES, features.WORD_MAX_DF),
+        ("char", features.CHARACTER_FEATURES, 1.0),
+    ):
+        known = features.vocabulary(rows, f"{block}_grams", most, share)
+        blocks.append(known.select(F.lit(block).alias("block"), "gram", "df", F.round("idf", 6).alias("idf")))
+    return blocks[0].union(blocks[1])
+
+
+def _message_vectors(spark, sf):
+    rows = views.messages(spark, sf)
+    stages = features.feature_stages(rows)
+    return classifier.featured(stages, rows), features.feature_names(stages)
+
+
+def _given(gram: str) -> float:
+    """A coefficient for every gram, from its hash."""
+    return (int(hashlib.md5(gram.encode()).hexdigest()[:4], 16) % 2001 - 1000) / 500
+
+
+@query
+def feature_vectors(spark, sf):
+    """M3: the assembled vectors of all messages taken apart again; per block the entries, their sum, and their sum by gram."""
+    vectors, names = _message_vectors(spark, sf)
+    rows = features.vector_rows(vectors, "message_id", names)
+    number = (F.conv(F.substring(F.md5(F.col("gram").cast("binary")), 1, 4), 16, 10).cast("long") % 2001 - 1000) / 500
+    sums = rows.groupBy("message_id", "block").agg(
+        F.count("*").alias("entries"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * number).alias("by_gram")
+    )
+    return sums.select("message_id", "block", "entries", *(F.round(c, 6).alias(c) for c in ("weight", "by_gram")))
+
+
+@query
+def linear_scores(spark, sf):
+    """M3, M6, M7, A4: all messages scored with a coefficient for every feature, given by a hash of its gram."""
+    vectors, names = _message_vectors(spark, sf)
+    given = [_given(gram) for _, gram in names]
+    p = features.logistic(features.linear_score(F.col("features"), given, 0.25))
+    ml = model_signal.model_assessment(F.col("p"))
+    fields = ("predicted_label", "suspicious_probability", "confidence", "score_contribution")
+    return vectors.select("message_id", p.alias("p")).select("message_id", *(ml[c].alias(c) for c in fields))
+
+
+@query
+def logistic_weights(spark, sf):
+    """M4: what the fit makes of the most frequent grams of all messages; the minimum is found another way in the SQL."""
+    words, characters = SMALL_MODEL
+    rows = views.messages(spark, sf).select("text", "label")
+    model = classifier.fit_classifier(rows, tolerance=1e-13, word_features=words, character_features=characters)
+    found = classifier.coefficient_rows(spark, model)
+    return found.select("block", "gram", F.round("coefficient", 3).alias("coefficient"))
+
+
 @query
 def training_sizes(spark, sf):
     """P6 per source: rows, rows per class, and whether a training run may use them."""
