@@ -61,7 +61,9 @@ def build_training_dataset(
 def build_training_dataset_from_files(
     spark: SparkSession, paths: Sequence[str], folder: str, seed: int = 42
 ) -> PreparedDataset:
-    return build_training_dataset(read_existing(spark, paths), folder, seed)
+    sources, rejected = read_existing(spark, paths)
+    rejected.write.mode("overwrite").parquet(f"{folder}/rejected")
+    return build_training_dataset(sources, folder, seed)
 
 
 def train_and_save(

@@ -3,34 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cautela.operators.validation import require_rows
+from cautela.sources.delimited import FileRows, read_delimited
 from cautela.sources.schemas import EVIDENCE_SCHEMAS
 
-_BAD = "_corrupt_record"
 
-
-def read_evidence_csv(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rows that do not fit the schema as raw lines). A byte order mark is ignored."""
-    schema = f"{EVIDENCE_SCHEMAS[table]}, {_BAD} string"
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
-        .csv(path)
-    )
-    # Whether a line fits is only known if its fields are parsed, so both filters refer to all of
-    # them: a mere count would otherwise prune every field and Spark refuses such a scan.
-    fields = [F.col(c).cast("string") for c in rows.columns if c != _BAD]
-    parsed = F.octet_length(F.concat_ws("", *fields)) >= 0
-    good = rows.filter(parsed & F.col(_BAD).isNull()).drop(_BAD)
-    bad = rows.filter(parsed & F.col(_BAD).isNotNull())
-    return good, bad
+def read_evidence_csv(spark: SparkSession, path: str, table: str) -> FileRows:
+    """Rows that fit the table's schema, and the others as they stand. A byte order mark is ignored."""
+    return read_delimited(spark, path, EVIDENCE_SCHEMAS[table], what="Evidence file")
 
 
 def read_required_evidence(spark: SparkSession, path: str, table: str) -> DataFrame:
-    good, _ = read_evidence_csv(spark, path, table)
+    good = read_evidence_csv(spark, path, table).rows
     require_rows(good, f"Evidence file {path}")
     return good

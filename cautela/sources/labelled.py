@@ -9,45 +9,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.functions.identifiers import name_uuid
+from cautela.sources.delimited import FileRows, is_missing, missing_input, no_rejects, read_delimited
 from cautela.sources.schemas import HAM_SPAM_TSV, LABELLED_COLUMNS, LABELLED_CSV
 
 HAM_SPAM_LABELS = {"ham": 0, "spam": 1}
 
 
-def read_labelled_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
-    """UTF-8 CSV with a header; columns are matched by position after a check of the names.
-
-    Quoted line breaks need ``multiline``, which reads each file in one task: set it to False for
-    very large files without such breaks.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
-    header = spark.read.option("header", True).option("enforceSchema", False)
-    return header.schema(LABELLED_CSV).option("multiLine", multiline).option("escape", '"').csv(paths)
+def read_labelled_csv(spark: SparkSession, path: str | Sequence[str]) -> FileRows:
+    """UTF-8 CSV with a header, checked by name; quoted texts may hold line breaks, large files are read by many tasks."""
+    return read_delimited(spark, path, LABELLED_CSV, what="Labelled file")
 
 
-def read_existing(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> list[tuple[str, DataFrame]]:
-    """(path, frame) of the inputs that exist, in order; fails if there is none."""
-    found = []
+def read_existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[tuple[str, DataFrame]], DataFrame]:
+    """(path, frame) of the inputs that exist, in order, and what was set aside, missing inputs included; fails if there is none."""
+    found, rejected = [], no_rejects(spark)
     for path in paths:
         try:
-            found.append((path, read_labelled_csv(spark, path, multiline)))
+            one = read_labelled_csv(spark, path)
         except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
+            if not is_missing(exc):
                 raise
+            rejected = rejected.union(missing_input(spark, path))
+        else:
+            found.append((path, one.rows))
+            rejected = rejected.union(one.rejected)
     if not found:
         raise FileNotFoundError("No source dataset exists. Generate or fetch data first.")
-    return found
+    return found, rejected
 
 
-def read_ham_spam(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
-    """Raw tab-separated corpus: label word and text, no header.
-
-    With ``quoted`` a text in double quotes may hold tabs and line breaks; without, quotes are plain
-    characters and large files are split over tasks.
-    """
-    reader = spark.read.schema(HAM_SPAM_TSV).option("sep", "\t")
-    reader = reader.option("escape", '"').option("multiLine", True) if quoted else reader.option("quote", "")
-    return reader.csv(path)
+def read_ham_spam(spark: SparkSession, path: str) -> FileRows:
+    """Raw tab-separated corpus: label word and text, no header. A text in double quotes may hold tabs and line breaks."""
+    return read_delimited(spark, path, HAM_SPAM_TSV, header=False, sep="\t")
 
 
 def label_number(raw_label: Column) -> Column:

@@ -162,7 +162,13 @@ def test_sample_file_bands(spark, tmp_path):
         ' "medium_risk": ["Please pay the RM5 delivery fee at http://parcel-payment.example."],\n'
         ' "high_risk": ["Police notice: install AnyDesk immediately and do not tell anyone."]}'
     )
-    rows = assess.assess_messages(read_sample_messages(spark, str(path))).collect()
+    (tmp_path / "odd.json").write_text('{"low_risk": "no list"}')
+    (tmp_path / "null.json").write_text('{"high_risk": [null]}')
+    found = read_sample_messages(spark, str(tmp_path / "*.json"))
+    assert sorted((r["reason"], r["raw"]) for r in found.rejected.collect()) == [
+        ("missing_text", "high_risk"), ("not_a_message_document", '{"low_risk": "no list"}'),
+    ]
+    rows = assess.assess_messages(found.rows).collect()
     assert {r["risk_band"].split("_")[0].title(): r["risk_level"] for r in rows} == {k: k for k in ("Low", "Medium", "High")}
 
 

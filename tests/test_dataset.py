@@ -30,6 +30,8 @@ def test_files_to_manifest(spark, tmp_path):
     assert prepared.dataset.count() == manifest["row_count"] == 40
     assert manifest["duplicates_removed"] == 1 and manifest["dataset_version"].startswith("sha256:")
     assert manifest["class_counts"] == {"0": 20, "1": 20} and manifest["input_files"] == [str(tmp_path / "raw")]
+    aside = spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()
+    assert [tuple(r) for r in aside] == [(str(tmp_path / "none"), None, "missing_input")]
     with pytest.raises(FileNotFoundError):
         labelled.read_existing(spark, [str(tmp_path / "none")])
 
@@ -123,8 +125,10 @@ def test_preconditions(spark, tmp_path):
 
 def test_ham_spam_file(spark, tmp_path):
     path = tmp_path / "corpus.tsv"
-    path.write_text('HAM\tsee you soon\nspam\t"win, now"\nodd\tx\n')
-    raw = labelled.read_ham_spam(spark, str(path))
+    path.write_text('HAM\tsee you soon\nspam\t"win, now"\nodd\tx\nspam\n')
+    found = labelled.read_ham_spam(spark, str(path))
+    assert [tuple(r)[1:] for r in found.rejected.collect()] == [("spam", "number_of_fields")]
+    raw = found.rows
     assert [(r["raw_label"], r["rows"]) for r in labelled.unknown_labels(raw).collect()] == [("odd", 1)]
     good = raw.filter("lower(raw_label) <> 'odd'")
     rows = labelled.ham_spam_records(good, F.lit("2026-01-01"), F.col("raw_label")).collect()

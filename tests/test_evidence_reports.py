@@ -91,9 +91,9 @@ def test_evidence_file_with_mark_and_glued_line(spark, tmp_path):
     header = "report_id,category,sanitised_text,review_status,allowed_for_decision"
     glued = "C2,b,text,unverified,falseCOM-1,b,other text,unverified,false"
     path.write_text(f"﻿{header}\nC1,a,hello,unverified,false\n{glued}\n", encoding="utf-8")
-    good, bad = read_evidence_csv(spark, str(path), "community_reports")
-    assert [r["report_id"] for r in good.collect()] == ["C1"] and good.count() == bad.count() == 1
-    assert [r["_corrupt_record"] for r in bad.collect()] == [glued]
+    found = read_evidence_csv(spark, str(path), "community_reports")
+    assert [(r["report_id"], r["allowed_for_decision"]) for r in found.rows.collect()] == [("C1", False)]
+    assert [(r["raw"], r["reason"], r["source_file"][-8:]) for r in found.rejected.collect()] == [(glued, "number_of_fields", path.name[-8:])]
     empty = tmp_path / "empty.csv"
     empty.write_text(f"{header}\n")
     with pytest.raises(ValueError, match="no records"):

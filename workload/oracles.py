@@ -524,6 +524,36 @@ ORACLES["blank_values"] = (
     f"replace(lower(trim(b || ' Level One')), ' ', '_') AS category FROM (SELECT s_suppkey, s_name, {BLANK} AS b FROM supplier)"
 )
 
+# Files
+
+ORACLES["labelled_csv_rows"] = (
+    "SELECT CAST(doc_id AS VARCHAR) AS record_id, md5(text) AS text_md5, CAST(doc_id % 2 AS VARCHAR) AS label, source, "
+    "doc_id % 3 = 0 AS is_synthetic, 'free, with \"quotes\"' AS license, '2026-07-10' AS created_at FROM documents"
+)
+QUOTED = "'\"' || replace({0}, '\"', '\"\"') || '\"'"
+ORACLES["labelled_csv_rejects"] = (
+    "WITH lines AS (SELECT lang, doc_id || ',' || " + QUOTED.format("text") + " || ',' || doc_id % 2 || ',' || source || ',prose,' || lang "
+    "|| ',unreviewed,' || CASE lang WHEN 'de' THEN 'perhaps' ELSE 'false' END || ',\"free, with \"\"quotes\"\"\",' "
+    "|| CASE lang WHEN 'fr' THEN 'soon' ELSE '2026-07-10' END || CASE lang WHEN 'es' THEN ',more' ELSE '' END AS line FROM documents), "
+    "told AS (SELECT CASE lang WHEN 'de' THEN 'bad_is_synthetic' WHEN 'fr' THEN 'bad_created_at' WHEN 'es' THEN 'number_of_fields' "
+    "ELSE 'kept' END AS reason, false AS missing, CASE WHEN lang IN ('de', 'fr', 'es') THEN md5(line) ELSE '' END AS raw_md5 FROM lines "
+    "UNION ALL SELECT 'missing_input', true, NULL) SELECT reason, missing, raw_md5, count(*) AS rows FROM told GROUP BY ALL"
+)
+ORACLES["evidence_csv_rows"] = (
+    "SELECT CASE WHEN page_id % 3 < 2 THEN CAST(page_id AS VARCHAR) ELSE '' END AS report_id, md5(CASE WHEN page_id % 3 < 2 THEN html "
+    "ELSE page_id || ',page,' || " + QUOTED.format("html") + " || ',unverified,ask' END) AS md5, page_id % 3 = 0 AS allowed_for_decision, "
+    "CASE WHEN page_id % 3 < 2 THEN 'kept' ELSE 'bad_allowed_for_decision' END AS reason FROM pages"
+)
+ORACLES["ham_spam_file"] = (
+    "WITH raw AS (SELECT doc_id % 2 AS label, text FROM documents UNION ALL SELECT 0, 'first' || chr(9) || 'line') SELECT "
+    + uuid5("'uci-228:' || md5(text) || ':' || text")
+    + " AS record_id, CAST(label AS INTEGER) AS label, md5(text) AS text_md5 FROM raw"
+)
+ORACLES["sample_message_files"] = (
+    "SELECT CASE role WHEN 'user' THEN 'low_risk' WHEN 'assistant' THEN 'medium_risk' ELSE 'high_risk' END AS risk_band, "
+    "CASE role WHEN 'system' THEN 'missing_text' ELSE md5(text) END AS text_md5, count(*) AS rows FROM conversations GROUP BY ALL"
+)
+
 # Classifier
 
 ORACLES["char_tfidf"] = with_(

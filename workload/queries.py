@@ -18,8 +18,9 @@ from cautela.operators.split import stratified_split
 from cautela.operators.validation import message_reject_reason, report_reject_reason
 from cautela.plans import assess
 from cautela.session import checkpoint_root, cut_lineage
-from cautela.sources import evidence_registry, labelled, synthetic
+from cautela.sources import evidence_files, evidence_registry, labelled, message_files, synthetic
 from cautela.sources.curated import curated_messages
+from cautela.sources.schemas import LABELLED_COLUMNS
 from cautela.streaming import messages as message_streams
 from cautela.streaming import reports as report_streams
 from workload import views
@@ -416,6 +417,111 @@ def unknown_labels(spark, sf):
     return labelled.unknown_labels(raw.unionByName(known))
 
 
+# Files
+
+
+def _sliced(spark):
+    """A session that reads files in slices of 64 kB, so that a file of any size keeps several tasks busy."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    return session
+
+
+def _file(folder, header, lines):
+    """One text file of a header and records, which may hold line breaks."""
+    spark = lines.sparkSession
+    spark.createDataFrame([(header,)], "line string").union(lines).coalesce(1).write.text(folder)
+
+
+def _quoted(column):
+    return F.concat(F.lit('"'), F.replace(column, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _labelled_lines(spark, sf, synthetic, created_at, more=None):
+    parts = [
+        F.col("doc_id").cast("string"), _quoted(F.col("text")), (F.col("doc_id") % 2).cast("string"), F.col("source"), F.lit("prose"),
+        F.col("lang"), F.lit("unreviewed"), synthetic, F.lit('"free, with ""quotes"""'), created_at,
+    ]
+    line = F.concat_ws(",", *parts) if more is None else F.concat(F.concat_ws(",", *parts), more)
+    return views.read(spark, sf, "documents").select(line.alias("line"))
+
+
+@query
+def labelled_csv_rows(spark, sf):
+    """All documents as one labelled CSV file, line breaks in quotes, read back by many tasks."""
+    folder = f"{_run_folder(spark)}/labelled.csv"
+    lines = _labelled_lines(spark, sf, F.when(F.col("doc_id") % 3 == 0, "true").otherwise("False"), F.lit("2026-07-10"))
+    _file(folder, ",".join(LABELLED_COLUMNS), lines)
+    rows = labelled.read_labelled_csv(_sliced(spark), folder).rows
+    return rows.select(
+        "record_id", F.md5("text").alias("text_md5"), "label", "source", "is_synthetic", "license",
+        F.col("created_at").cast("string").alias("created_at"),
+    )
+
+
+@query
+def labelled_csv_rejects(spark, sf):
+    """What does not fit, by language a bad date, a bad flag or a field too many; one optional input is missing."""
+    folder = f"{_run_folder(spark)}/labelled.csv"
+    language = F.col("lang")
+    lines = _labelled_lines(
+        spark, sf, F.when(language == "de", "perhaps").otherwise("false"), F.when(language == "fr", "soon").otherwise("2026-07-10"),
+        F.when(language == "es", ",more").otherwise(""),
+    )
+    _file(folder, ",".join(LABELLED_COLUMNS), lines)
+    found, rejected = labelled.read_existing(_sliced(spark), [f"{folder}-missing", folder])
+    kept = found[0][1].select(F.lit("kept").alias("reason"), F.lit(False).alias("missing"), F.lit("").alias("raw_md5"))
+    aside = rejected.select("reason", F.col("source_file").endswith("-missing").alias("missing"), F.md5("raw").alias("raw_md5"))
+    return kept.union(aside).groupBy("reason", "missing", "raw_md5").agg(F.count("*").alias("rows"))
+
+
+@query
+def evidence_csv_rows(spark, sf):
+    """All pages as an evidence file with a byte order mark, rows and what is set aside."""
+    folder = f"{_run_folder(spark)}/reports.csv"
+    number = F.col("page_id") % 3
+    allowed = F.when(number == 0, "true").when(number == 1, "false").otherwise("ask")
+    line = F.concat_ws(",", F.col("page_id").cast("string"), F.lit("page"), _quoted(F.col("html")), F.lit("unverified"), allowed)
+    header = "\ufeffreport_id,category,sanitised_text,review_status,allowed_for_decision"
+    _file(folder, header, views.read(spark, sf, "pages").select(line.alias("line")))
+    found = evidence_files.read_evidence_csv(_sliced(spark), folder, "community_reports")
+    good = found.rows.select("report_id", F.md5("sanitised_text").alias("md5"), "allowed_for_decision", F.lit("kept").alias("reason"))
+    bad = found.rejected.select(F.lit("").alias("report_id"), F.md5("raw").alias("md5"), F.lit(False), "reason")
+    return good.union(bad)
+
+
+@query
+def ham_spam_file(spark, sf):
+    """S3: the corpus as a tab-separated file whose texts hold line breaks, from file to records."""
+    folder = f"{_run_folder(spark)}/corpus.tsv"
+    word = F.when(F.col("doc_id") % 2 == 0, "ham").otherwise("SPAM")
+    lines = views.read(spark, sf, "documents").select(F.concat(word, F.lit("\t"), _quoted(F.col("text"))).alias("line"))
+    _file(folder, 'ham\t"first\tline"', lines)
+    raw = labelled.read_ham_spam(_sliced(spark), folder).rows
+    records = labelled.ham_spam_records(raw, F.lit("2026-07-10").cast("date"), F.md5("text"))
+    return records.select("record_id", "label", F.md5("text").alias("text_md5"))
+
+
+@query
+def sample_message_files(spark, sf):
+    """One JSON document of messages per conversation; system turns are left out of the lists as nulls."""
+    folder = f"{_run_folder(spark)}/samples"
+    said = lambda role: F.array_compact(F.collect_list(F.when(F.col("role") == role, F.col("text"))))
+    bands = F.struct(
+        said("user").alias("low_risk"), said("assistant").alias("medium_risk"),
+        F.collect_list(F.when(F.col("role") == "system", F.struct(F.lit(None).cast("string")))).alias("_"),
+    )
+    turns = views.read(spark, sf, "conversations").groupBy("conv_id").agg(bands.alias("b"))
+    nulls = F.transform("b._", lambda _: F.lit(None).cast("string"))
+    document = F.to_json(F.struct("b.low_risk", "b.medium_risk", nulls.alias("high_risk")), {"ignoreNullFields": "false"})
+    turns.select("conv_id", document.alias("document")).write.partitionBy("conv_id").text(folder)
+    found = message_files.read_sample_messages(spark, f"{folder}/*")
+    good = found.rows.groupBy("risk_band", F.md5("text").alias("text_md5")).agg(F.count("*").alias("rows"))
+    bad = found.rejected.groupBy(F.col("raw").alias("risk_band"), F.col("reason").alias("text_md5")).agg(F.count("*").alias("rows"))
+    return good.union(bad)
+
+
 # Classifier
 
 
