@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cautela.functions.identifiers import report_id, report_key
 from cautela.functions.masking import sanitise
 from cautela.functions.text import category_name, strip_spaces
 from cautela.operators.validation import report_reject_reason
+from cautela.sources.folders import SMALL_BYTES, Files, compact, read_batches
 from cautela.sources.schemas import REPORT_COLUMNS
 
+# Fixed value: the sentence that result rows carry.
 EXPLANATION = (
     "The report was sanitised and stored as unverified community context. It is not permitted to "
     "influence trusted risk decisions until reviewed."
@@ -33,11 +35,25 @@ COMMUNITY_PROPERTIES = {
 }
 
 
+def reject_reason(text: Column, category: Column) -> Column:
+    """Null for a report that is stored. Told from the raw text, so that masks run on stored reports only."""
+    # Masks never leave less than they find, so only blank text is empty after them.
+    return F.coalesce(report_reject_reason(text, category), F.when(strip_spaces(text) == "", F.lit("nothing_left")))
+
+
+def judged_reports(
+    submissions: DataFrame, text: str = "text", category: str = "category", submitted_at: str = "submitted_at"
+) -> DataFrame:
+    """The submissions with ``report_key`` and ``reject_reason``, nothing masked yet."""
+    key = report_key(F.col(submitted_at), F.col(category), F.col(text))
+    return submissions.withColumns({"report_key": key, "reject_reason": reject_reason(F.col(text), F.col(category))})
+
+
 def prepare_reports(
     submissions: DataFrame, text: str = "text", category: str = "category", submitted_at: str = "submitted_at"
 ) -> DataFrame:
     """Report columns plus ``reject_reason``; only masked text leaves this function."""
-    named = submissions.withColumn("_category", category_name(F.col(category)))
+    named = submissions.drop("report_key", "reject_reason").withColumn("_category", category_name(F.col(category)))
     return named.select(
         report_id(F.col(submitted_at), F.col(category), F.col(text)).alias("report_id"),
         report_key(F.col(submitted_at), F.col(category), F.col(text)).alias("report_key"),
@@ -46,13 +62,8 @@ def prepare_reports(
         F.lit("unverified").alias("review_status"),
         F.lit(False).alias("allowed_for_decision"),
         F.col(submitted_at).alias("submitted_at"),
-        F.coalesce(
-            report_reject_reason(F.col(text), F.col(category)),
-            # Masks never leave less than they find, so only blank text is empty after them. Told
-            # from the raw text, the check does not run the masks a second time in a filter.
-            F.when(strip_spaces(F.col(text)) == "", F.lit("nothing_left")),
-        ).alias("reject_reason"),
-        *[c for c in submissions.columns if c not in (text, category, submitted_at)],
+        reject_reason(F.col(text), F.col(category)).alias("reject_reason"),
+        *[c for c in named.columns if c not in (text, category, submitted_at, "_category")],
     )
 
 
@@ -113,10 +124,51 @@ def properties_of(totals: DataFrame) -> DataFrame:
 
 
 STORED_COLUMNS = (*REPORT_COLUMNS, "report_key", "submitted_at")
+STORED_SCHEMA = (
+    "report_id string, category string, sanitised_text string, review_status string, allowed_for_decision boolean, "
+    "report_key string, submitted_at timestamp"
+)
+KEY_SCHEMA = "report_key string, day int, run string, batch string"
+
+
+def day_of(submitted_at: Column) -> Column:
+    """Days since 1970, the partition of the key index that a report's time lies in."""
+    return F.floor(F.unix_seconds(submitted_at) / 86_400).cast("int")
+
+
+def write_keys(stored: DataFrame, path: str, run: str, batch: str) -> None:
+    """Keys of a batch in ``<path>-keys/day=/run=/batch=``, with Bloom filters; a repeated batch replaces its folders."""
+    keys = stored.select("report_key", day_of(F.col("submitted_at")).alias("day"), F.lit(run).alias("run"), F.lit(batch).alias("batch"))
+    writer = keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run", "batch")
+    writer.option("parquet.bloom.filter.enabled#report_key", "true").parquet(f"{path}-keys")
+
+
+def stored_keys(spark: SparkSession, path: str, days: Sequence[int]) -> DataFrame | None:
+    """The index's rows of some days, whose folders are all that is listed and read; None if there are none."""
+    files = Files(spark, f"{path}-keys")
+    folders = [f"{path}-keys/day={d}" for d in days if files.exists(f"day={d}")]
+    return spark.read.option("basePath", f"{path}-keys").schema(KEY_SCHEMA).parquet(*folders) if folders else None
+
+
+def find_report(spark: SparkSession, path: str, key: str, submitted_at: Column) -> DataFrame:
+    """(report_key, day, run, batch) of a stored report: one day's folder, in which the Bloom filters skip files."""
+    day = spark.range(1).select(day_of(submitted_at)).first()[0]
+    found = stored_keys(spark, path, [day])
+    return spark.createDataFrame([], KEY_SCHEMA) if found is None else found.filter(F.col("report_key") == key)
+
+
+def stored_reports(spark: SparkSession, path: str) -> DataFrame:
+    """All stored reports, from batches and from what compaction has merged."""
+    return read_batches(spark, path, STORED_SCHEMA)
+
+
+def compact_reports(spark: SparkSession, path: str, small: int = SMALL_BYTES) -> int:
+    """Merge small batches; totals and keys stay as they are, since they speak of the batches as they were sent."""
+    return compact(spark, path, STORED_SCHEMA, small)
 
 
 def store_batch(ready: DataFrame, path: str, run: str, batch: str) -> DataFrame:
-    """Write one batch of reports and, beside it, its totals; a repeated call replaces both. Returns what was stored.
+    """Write one batch of reports and, beside it, its totals and keys; a repeated call replaces them. Returns what was stored.
 
     The same layout serves batch jobs and streams: ``<path>/run=<run>/batch=<batch>`` and ``<path>-totals`` alike. A
     run is one job or one stream checkpoint, so that two of them on one path never write into each other's folders.
@@ -126,6 +178,7 @@ def store_batch(ready: DataFrame, path: str, run: str, batch: str) -> DataFrame:
     ready.write.mode("overwrite").parquet(f"{path}/{place}")
     stored = spark.read.schema(ready.schema).parquet(f"{path}/{place}")
     report_totals(stored).write.mode("overwrite").parquet(f"{path}-totals/{place}")
+    write_keys(stored, path, run, batch)
     return stored
 
 
@@ -152,7 +205,7 @@ def submit_reports(
         try:
             refresh_metadata(refreshed_properties(submissions.sparkSession, path))
         except Exception as exc:  # noqa: BLE001 - reports are stored, whatever the catalogue does
-            warning = f"The sanitised report was saved locally, but metadata write-back failed: {exc}"
+            warning = f"Stored, but the source's properties were not refreshed: {exc}"
     return stored.select(
         "*",
         F.lit(True).alias("saved_locally"),

@@ -8,34 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cautela.functions.text import category_name
 from cautela.operators.reports import (
     accepted_reports,
+    day_of,
+    judged_reports,
     prepare_reports,
     refreshed_properties,
-    rejected_reports,
     store_batch,
+    stored_keys,
 )
 
 QUERY_ID = "sql.streaming.queryId"
 
 
-def not_stored_yet(ready: DataFrame, path: str, place: str) -> DataFrame:
+def not_stored_yet(ready: DataFrame, path: str, run: str, batch: str) -> DataFrame:
     """Reports of a batch, each once, without those that an earlier batch of any run has stored, however late they are.
 
-    A report's key includes its time, so only stored files whose times overlap the batch's are read (from the Parquet
-    statistics). The batch's own folder does not count: a repeated batch replaces it.
+    A report's key includes its time, so only the key index of the days that the batch's reports are from is read. The
+    batch's own folders do not count: a repeated batch replaces them.
     """
     single = ready.dropDuplicates(["report_key"])
-    spark = ready.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    days = [r.day for r in ready.select(day_of(F.col("submitted_at")).alias("day")).distinct().collect()]  # calendar days
+    stored = stored_keys(ready.sparkSession, path, sorted(d for d in days if d is not None))
+    if stored is None:
         return single
-    first, last = ready.agg(F.min("submitted_at"), F.max("submitted_at")).first()
-    if first is None:
-        return single
-    files = spark.read.option("basePath", path).schema("report_key string, submitted_at timestamp").parquet(path)
-    stored = files.filter(F.col("submitted_at").between(F.lit(first), F.lit(last)) & ~F.input_file_name().contains(f"/{place}/"))
-    return single.join(stored.select("report_key"), "report_key", "left_anti")
+    earlier = stored.filter((F.col("run") != run) | (F.col("batch") != batch))
+    return single.join(earlier.select("report_key"), "report_key", "left_anti")
 
 
 def append_reports(
@@ -49,27 +48,30 @@ def append_reports(
     """Store every report once; a late one is stored like any other, a report sent again is left out.
 
     Each micro-batch replaces its own folder, named by the query's id - which lives in the checkpoint - and its number.
-    Rejected rows go to ``<path>-rejected`` with their reasons. ``refresh_metadata`` gets the properties from the batches' totals.
+    Copies are found by key before any text is masked. Rejected rows go to ``<path>-rejected`` with their reasons.
+    ``refresh_metadata`` gets the properties from the batches' totals.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty(QUERY_ID)
-        place = f"run={run}/batch={batch_id}"
-        batch.persist()
+        judged = judged_reports(batch).persist()
         try:
-            rejected_reports(batch).write.mode("overwrite").parquet(f"{path}-rejected/{place}")
-            store_batch(not_stored_yet(accepted_reports(batch), path, place), path, run, str(batch_id))
+            aside = judged.filter(F.col("reject_reason").isNotNull())
+            aside = aside.select("report_key", category_name(F.col("category")).alias("category"), "submitted_at", "reject_reason")
+            aside.write.mode("overwrite").parquet(f"{path}-rejected/run={run}/batch={batch_id}")
+            fresh = not_stored_yet(judged.filter(F.col("reject_reason").isNull()), path, run, str(batch_id))
+            store_batch(accepted_reports(prepare_reports(fresh)), path, run, str(batch_id))
         finally:
-            batch.unpersist()
+            judged.unpersist()
         if refresh_metadata is None:
             return
         try:
             refresh_metadata(refreshed_properties(spark, path))
         except Exception as exc:  # noqa: BLE001 - reports are stored, whatever the catalogue does
-            on_warning(f"Metadata write-back failed after batch {batch_id}: {exc}")
+            on_warning(f"Properties were not refreshed after batch {batch_id}: {exc}")
 
-    writer = prepare_reports(submissions).writeStream.foreachBatch(store)
+    writer = submissions.writeStream.foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

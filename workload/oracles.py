@@ -252,7 +252,7 @@ ORACLES["full_assessment"] = full_assessment("SELECT * FROM messages") + (
     f"{lit(sc.ANALYSIS_VERSION)} AS analysis_version, {len(TEXT_RULES)} AS rules_evaluated, "
     f"substr(sha256(t), 1, 16) AS input_fingerprint, {lit(sc.DISCLAIMER)} AS disclaimer FROM scored"
 )
-ORACLES["stream_assessments"] = full_assessment(DOCUMENT_MESSAGES) + (
+ORACLES["stream_assessments"] = full_assessment(f"{DOCUMENT_MESSAGES} UNION ALL {CONVERSATION_MESSAGES} UNION ALL {ORDER_MESSAGES}") + (
     f"SELECT message_id, {level('rule_score')} AS risk_level, rule_score AS risk_score, {summary('rule_score')} AS summary FROM scored"
 )
 ORACLES["fingerprints"] = (
@@ -363,19 +363,28 @@ ORACLES["report_validation"] = (
     "THEN repeat(source, 12) WHEN doc_id % 3 = 1 THEN source END AS c FROM documents)"
 )
 STREAMED = SUBMISSIONS.replace("submissions AS", "sent AS", 1) + (
-    ", submissions AS (SELECT message_id, text, category, 1704067200 + (seconds - 1704067200) % 50 AS seconds FROM sent)"
+    ", submissions AS (SELECT message_id, text, category, 1704067200 + (seconds - 1704067200) % 50 "
+    "- CASE WHEN category = ' Lang fr ' THEN 94608000 ELSE 0 END AS seconds FROM sent)"
 )
 STORED = (
     f"SELECT DISTINCT report_key, report_id, category, sanitised_text, 'unverified' AS review_status{{more}} FROM prepared "
     "WHERE reject_reason IS NULL"
 )
+ORACLES["stream_rejected_messages"] = with_(MESSAGES) + (
+    "SELECT message_id, CASE WHEN length(trim(text)) < 3 THEN 'too_short' ELSE 'too_long' END AS reject_reason FROM messages "
+    "WHERE length(trim(text)) < 3 OR length(trim(text)) > 10000"
+)
 ORACLES["stream_reports"] = with_(STREAMED, PREPARED) + STORED.format(more="")
 ORACLES["stream_rejected_reports"] = with_(STREAMED, PREPARED) + (
     "SELECT report_key, category, reject_reason FROM prepared WHERE reject_reason IS NOT NULL"
 )
+ORACLES["compacted_reports"] = with_(STREAMED, PREPARED) + (
+    "SELECT DISTINCT report_key, report_id, category, sanitised_text, seconds * 1000000 AS micros, true AS fewer_files, "
+    "(SELECT count(DISTINCT report_key) FROM prepared WHERE reject_reason IS NULL) AS total FROM prepared WHERE reject_reason IS NULL"
+)
 ORACLES["submitted_reports"] = with_(SUBMISSIONS, PREPARED) + STORED.replace("DISTINCT ", "").format(
-    more=", false AS allowed_for_decision, true AS saved_locally, false AS writeback_available, 'The sanitised report was "
-    f"saved locally, but metadata write-back failed: offline' AS writeback_warning, {lit(rp.EXPLANATION)} AS explanation"
+    more=", false AS allowed_for_decision, true AS saved_locally, false AS writeback_available, "
+    f"'Stored, but the source''s properties were not refreshed: offline' AS writeback_warning, {lit(rp.EXPLANATION)} AS explanation"
 )
 ORACLES["stored_report_properties"] = ORACLES["community_properties"]
 ORACLES["stream_report_totals"] = with_(STREAMED, PREPARED) + (

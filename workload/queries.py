@@ -925,23 +925,41 @@ def _drain(stream_query):
     stream_query.awaitTermination()
 
 
+def _message_stream(spark, sf, folder):
+    """All messages as a landing folder of several files, assessed by a stream in two batches."""
+    landed = views.messages(spark, sf)
+    landed.repartition(8).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    columns = ("message_id", "risk_level", "risk_score", "summary")
+    _drain(message_streams.append_assessments(stream, f"{folder}/out", f"{folder}/checkpoint", columns))
+
+
 @query
 def stream_assessments(spark, sf):
     """ST1: the message stream, a landing folder of several files, gives what the batch gives."""
     folder = _run_folder(spark)
-    landed = views.document_messages(views.read(spark, sf, "documents"))
-    landed.repartition(8).write.parquet(f"{folder}/in")
-    scored = message_streams.assess_stream(spark.readStream.schema(landed.schema).parquet(f"{folder}/in"))
-    out = scored.select("message_id", "risk_level", "risk_score", "summary")
-    _drain(message_streams.write_assessments(out, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    _message_stream(spark, sf, folder)
+    schema = "message_id string, risk_level string, risk_score int, summary string"
+    return spark.read.schema(schema).parquet(f"{folder}/out/*/*")
+
+
+@query
+def stream_rejected_messages(spark, sf):
+    """ST1, P1: what the message stream sets aside, each with its reason."""
+    folder = _run_folder(spark)
+    _message_stream(spark, sf, folder)
+    return spark.read.schema("message_id string, reject_reason string").parquet(f"{folder}/out-rejected/*/*")
 
 
 def _report_stream(spark, sf, folder):
-    """All submissions as a landing folder has them: several files, each with reports of all times, many of one second."""
+    """All submissions as a landing folder has them: several files, each with reports of all times, many of one second.
+
+    Those in French come three years late.
+    """
     sent = views.submissions(spark, sf)
     second = F.pmod(F.unix_seconds("submitted_at") - 1_704_067_200, F.lit(50))
-    sent = sent.select("text", "category", F.timestamp_seconds(F.lit(1_704_067_200) + second).alias("submitted_at"))
+    late = F.when(F.col("category") == " Lang fr ", 94_608_000).otherwise(0)
+    sent = sent.select("text", "category", F.timestamp_seconds(F.lit(1_704_067_200) + second - late).alias("submitted_at"))
     sent.repartition(6).write.parquet(f"{folder}/in")
     return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
@@ -952,7 +970,24 @@ def stream_reports(spark, sf):
     folder = _run_folder(spark)
     twice = _report_stream(spark, sf, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     _drain(report_streams.append_reports(twice, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/out").select("report_key", "report_id", "category", "sanitised_text", "review_status")
+    stored = reports.stored_reports(spark, f"{folder}/out")
+    return stored.select("report_key", "report_id", "category", "sanitised_text", "review_status")
+
+
+@query
+def compacted_reports(spark, sf):
+    """The stored reports after their batches were merged, with the total that the properties give."""
+    folder = _run_folder(spark)
+    path = f"{folder}/out"
+    _drain(report_streams.append_reports(_report_stream(spark, sf, folder), path, f"{folder}/checkpoint"))
+    files = lambda: len(reports.stored_reports(spark, path).inputFiles())
+    before = files()
+    reports.compact_reports(spark, path)
+    total = reports.refreshed_properties(spark, path).select(F.col("custom_properties")["record_count"].cast("long")).scalar()
+    return reports.stored_reports(spark, path).select(
+        "report_key", "report_id", "category", "sanitised_text", F.unix_micros("submitted_at").alias("micros"),
+        F.lit(files() < before).alias("fewer_files"), total.alias("total"),
+    )
 
 
 @query
