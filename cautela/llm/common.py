@@ -131,16 +131,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, rows
 
 
-#: Words in the younger of the two generations that a worker remembers.
-REMEMBERED = 600_000
+#: Bytes that a remembered word takes beside its letters and ids, and bytes in each of the two generations that a worker remembers.
+ENTRY_BYTES, REMEMBERED_BYTES = 180, 128 << 20
 
 
 class WordMemory:
     """Encodes texts word by word, each different word once; subclasses say how texts are cut and words encoded."""
 
+    #: Most bytes of a generation.
+    most = REMEMBERED_BYTES
+
     def __init__(self):
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def cut(self, text: str) -> list[str] | None:
         """Words whose encodings make up the text's; None if it has to be encoded in one."""
@@ -156,10 +160,10 @@ class WordMemory:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         needed = set().union(*(words for words in cut if words is not None))
-        if len(self.known) > REMEMBERED:  # words that come again move over from the older generation
-            self.older, self.known = self.known, {}
-        missing = []
-        for word in needed - self.known.keys():
+        if self.held > self.most:  # words that come again move over from the older generation
+            self.older, self.known, self.held = self.known, {}, 0
+        missing, new = [], needed - self.known.keys()
+        for word in new:
             ids = self.older.get(word)
             if ids is None:
                 missing.append(word)
@@ -167,6 +171,7 @@ class WordMemory:
                 self.known[word] = ids
         self.learn(missing)
         known = self.known.__getitem__
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, map(known, new)))
         return [
             self.whole(text) if words is None else b"".join(map(known, words)) for text, words in zip(texts, cut, strict=True)
         ]

@@ -13,7 +13,7 @@ from cautela.llm.near_dedup import near_duplicates
 from cautela.llm.packing import pack_documents
 from cautela.llm.personal_data import BASE_PATTERNS, KINDS, find_personal_data, written
 from cautela.llm.quality_rules import BANDS, CHANCE, FALSE_REJECTIONS, RULES, TOP, cutoffs, measure, verdicts
-from cautela.llm.sentence_pieces import decode_pieces, encode_pieces
+from cautela.llm.sentence_pieces import encode_pieces
 from cautela.llm.tile_search import nearest
 from cautela.llm.token_counts import count_tokens
 from cautela.llm.token_files import token_index, write_token_files
@@ -35,7 +35,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and hash of the ids, and whether decoding them gives the text back."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = decode_pieces(encode_pieces(documents, PIECE_BPE), PIECE_BPE)
+    decoded = encode_pieces(documents, PIECE_BPE, decoded="decoded")
     return decoded.select(
         "doc_id",
         F.when(F.col("piece_ids").isNull(), F.lit(0)).otherwise(F.size("piece_ids")).cast("long").alias("n_pieces"),

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching (operator 3).
 
-The different words of a batch are concatenated; their suffixes, sorted by as many characters as the longest piece has,
+The different words of a batch that the worker has not met lately are concatenated; their suffixes, sorted by as many characters as the longest piece has,
 form a suffix array. Every piece of the vocabulary finds its range of occurrences there by binary search. The
 occurrences are the edges of the words' lattices; sorted by the position where they end, they are relaxed from left to
 right, all words at once.
@@ -11,7 +11,8 @@ pieces when they are merged on their own (such local agreement determines the wh
 
 Characters outside the vocabulary fall back to byte pieces. A null text has null ids, an empty one none; decoding gives
 the text back unless it contains the escape character for spaces or more than one such meaning. Repeated rows are encoded
-each; extra columns are passed through; an empty table gives no rows.
+each; extra columns are passed through, one named like the result is an error; an empty table gives no rows. Runs of spaces have equal
+scores and are merged as they stand, as are texts that hold a \\0.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cautela.llm.common import WordMemory, slices, vocabulary_file
+from cautela.llm.common import REMEMBERED_BYTES, WordMemory, slices, vocabulary_file
 
 SPACE_MARK = "▁"
 #: Characters of words that are indexed together.
@@ -40,6 +41,8 @@ BARRIER, NOT_SET = -2, -1
 class PieceEncoder(WordMemory):
     """A model's vocabulary; ``learn`` is the suffix-array matching, ``merge`` the plain merging of one string."""
 
+    most = REMEMBERED_BYTES // 2
+
     def __init__(self, path: str):
         super().__init__()
         import sentencepiece
@@ -48,18 +51,12 @@ class PieceEncoder(WordMemory):
         self.pieces: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.byte_ids = [0] * 256
-        self.bytes_of: list[bytes] = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                value = int(piece[1:-1], 16)
-                self.byte_ids[value] = i
-                self.bytes_of.append(bytes([value]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.bytes_of.append(b"")
-            else:
+                self.byte_ids[int(piece[1:-1], 16)] = i
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.pieces[piece], self.scores[piece] = i, model.get_score(i)
-                self.bytes_of.append(piece.replace(SPACE_MARK, " ").encode())
         self.text_of = {i: p for p, i in self.pieces.items()}
         if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}|\n", p) for p in self.pieces):
             raise ValueError("Pieces that go beyond a word are not supported.")
@@ -208,7 +205,7 @@ class PieceEncoder(WordMemory):
             bound = ~free & (previous >= 0)
             good[bound] = self._agree(previous[bound], pieces[bound])
             last[end[open_[good]]] = pieces[good]
-        size = np.array([len(self.text_of.get(i, " ")) for i in range(len(self.bytes_of))])
+        size = np.array([len(self.text_of.get(i, " ")) for i in range(len(self.single))])
         found_word, found_piece, cursor, alive = [], [], ends.copy(), np.flatnonzero(lengths > 0)
         while len(alive):
             taken = last[cursor[alive]]
@@ -234,6 +231,24 @@ class PieceEncoder(WordMemory):
                 ids += [p] if p >= 0 else [self.byte_ids[x] for x in char.encode("utf-8", "surrogatepass")]
             self.known[words[i]] = np.array(ids, "<u4").tobytes()
 
+
+class PieceDecoder:
+    """The bytes of each piece, and nothing else of a model."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(path))
+        self.bytes_of: list[bytes] = []
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                self.bytes_of.append(bytes([int(piece[1:-1], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                self.bytes_of.append(b"")
+            else:
+                self.bytes_of.append(piece.replace(SPACE_MARK, " ").encode())
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
         return raw.decode("utf-8", "replace").removeprefix(" ")
@@ -244,44 +259,61 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, run) -> DataFrame:
-    """``df`` with a new last column ``name`` made by an Arrow function of the column ``source``."""
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> PieceDecoder:
+    return PieceDecoder(path)
+
+
+def _with_columns(df: DataFrame, source: str, fields: list[T.StructField], run) -> DataFrame:
+    """``df`` with new last columns made by an Arrow function of the column ``source``."""
+    clash = {f.name for f in fields} & set(df.columns)
+    if clash:
+        raise ValueError(f"The table has columns named like the result: {sorted(clash)}")
     packed = df.select(F.struct("*").alias("row"), F.col(source).alias("source"))
-    schema = T.StructType([packed.schema["row"], T.StructField(name, kind)])
-    made = packed.mapInArrow(run, schema)
-    return made.select(*(F.col("row")[c].alias(c) for c in df.columns), name)
+    made = packed.mapInArrow(run, T.StructType([packed.schema["row"], *fields]))
+    return made.select(*(F.col("row")[c].alias(c) for c in df.columns), *(f.name for f in fields))
+
+
+def _encoded(texts: list[str | None], model: str) -> pa.ListArray:
+    found = _encoder(model).encode([t or "" for t in texts])
+    missing = np.array([t is None for t in texts], bool)
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    values = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(missing))
+
 
+def _decoded(lists: pa.ListArray, model: str) -> pa.Array:
+    decode = _decoder(model).decode
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    missing = lists.is_null().to_numpy(zero_copy_only=False)
+    texts = [
+        None if gone else decode(values[a:b].tolist())  # one row's ids at a time as Python numbers
+        for gone, a, b in zip(missing, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+    ]
+    return pa.array(texts, pa.string())
 
-def encode_pieces(df: DataFrame, model: str, text: str = "text", name: str = "piece_ids") -> DataFrame:
-    """All columns and the ids of every whole text; ``model`` is a file path on every node."""
+
+def encode_pieces(df: DataFrame, model: str, text: str = "text", name: str = "piece_ids", decoded: str | None = None) -> DataFrame:
+    """All columns and the ids of every whole text; ``model`` is a public tokenizer's name or a file path on every node.
+
+    With ``decoded`` the ids are decoded again in the same worker, into a column of that name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
         for batch in slices(batches, "source"):
-            texts = batch.column("source").to_pylist()
-            found = encoder.encode([t or "" for t in texts])
-            missing = np.array([t is None for t in texts], bool)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            values = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(missing))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), ids], ["row", name])
+            columns = [batch.column("row"), _encoded(batch.column("source").to_pylist(), model)]
+            columns += [_decoded(columns[1], model)] if decoded else []
+            yield pa.RecordBatch.from_arrays(columns, ["row", name, decoded][: len(columns)])
 
-    return _with_column(df, text, name, T.ArrayType(T.IntegerType()), run)
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    return _with_columns(df, text, fields + [T.StructField(decoded, T.StringType())] * bool(decoded), run)
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
     """All columns and the text of every list of ids (null: null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
         for batch in batches:
-            lists = batch.column("source")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            missing = lists.is_null().to_numpy(zero_copy_only=False)
-            texts = [
-                None if gone else encoder.decode(values[a:b].tolist())  # one row's ids at a time as Python numbers
-                for gone, a, b in zip(missing, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", name])
-
-    return _with_column(df, ids, name, T.StringType(), run)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _decoded(batch.column("source"), model)], ["row", name])
+
+    return _with_columns(df, ids, [T.StructField(name, T.StringType())], run)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from cautela.llm.common import table, utf8, vocabulary_file, word_bounds
 from cautela.llm.queries import BYTE_BPE, PIECE_BPE
-from cautela.llm.sentence_pieces import PieceEncoder, decode_pieces, encode_pieces
+from cautela.llm.sentence_pieces import PieceDecoder, PieceEncoder, decode_pieces, encode_pieces
 from cautela.llm.token_counts import Automaton, byte_level_automaton, byte_level_vocabulary, count_tokens
 from cautela.llm.token_files import WordEncoder, read_token_files, token_index, write_token_files
 
@@ -87,6 +87,18 @@ def test_word_encoder_equals_the_library():
     assert encoder.encode(texts) == expected and encoder.encode(texts) == expected
 
 
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    pick = random.Random(3)
+    texts = [" ".join("".join(pick.choice("abcdef") for _ in range(6)) for _ in range(20)) for _ in range(300)]
+    encoder = WordEncoder(BYTE_BPE)
+    expected = encoder.encode(texts)
+    monkeypatch.setattr(WordEncoder, "most", 20_000)
+    small = WordEncoder(BYTE_BPE)
+    for start in range(0, len(texts), 20):
+        assert small.encode(texts[start : start + 20]) == expected[start : start + 20]
+    assert small.held < 150_000 and 2 * (len(small.known) + len(small.older)) < len(encoder.known)
+
+
 def test_piece_encoder_equals_the_library():
     import sentencepiece
 
@@ -94,7 +106,8 @@ def test_piece_encoder_equals_the_library():
     encoder, texts = PieceEncoder(PIECE_BPE), mixtures(1_500)
     found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
     assert found == model.encode(texts)
-    assert [encoder.decode(x) for x in found] == [model.decode(x) for x in found]
+    decoder = PieceDecoder(PIECE_BPE)
+    assert [decoder.decode(x) for x in found] == [model.decode(x) for x in found]
 
 
 def test_pieces_of_tables(spark, sf, odd, none):
@@ -105,6 +118,9 @@ def test_pieces_of_tables(spark, sf, odd, none):
         assert r.piece_ids == model.encode(r.text)
     found = decode_pieces(encode_pieces(odd, PIECE_BPE), PIECE_BPE)
     assert found.columns == [*odd.columns, "piece_ids", "decoded"]
+    assert sorted(map(str, encode_pieces(odd, PIECE_BPE, decoded="decoded").collect())) == sorted(map(str, found.collect()))
+    with pytest.raises(ValueError, match="named like"):
+        encode_pieces(found, PIECE_BPE)
     rows = found.collect()
     assert [r.decoded for r in rows] == [r.text for r in rows] and rows[3].piece_ids == [] and rows[4].piece_ids is None
     assert encode_pieces(none, PIECE_BPE).count() == 0
