@@ -306,7 +306,8 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", name: str = "pi
             yield pa.RecordBatch.from_arrays(columns, ["row", name, decoded][: len(columns)])
 
     fields = [T.StructField(name, T.ArrayType(T.IntegerType()))]
-    return _with_columns(df, text, fields + [T.StructField(decoded, T.StringType())] * bool(decoded), run)
+    fields += [T.StructField(decoded, T.StringType())] if decoded else []
+    return _with_columns(df, text, fields, run)
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
