@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cautela.operators.scoring import ml_points
 
+# The sentences that assessments carry.
 SUPPORTING_ONLY = (
     "The text model provides supporting evidence only. Its contribution is capped "
     "at 30 points and cannot reduce warnings found by deterministic rules."

@@ -17,6 +17,7 @@ from cautela.functions.urls import extract_urls
 from cautela.operators.rules import LINK_RULES, TEXT_RULES, LinkRule, Rule, TextRule, any_text_rule
 
 ANALYSIS_VERSION = "hybrid-0.2.0"
+# Output sentences, thresholds and their order.
 DISCLAIMER = (
     "This is an automated risk indication, not proof that a message is legitimate or fraudulent. "
     "Verify important requests through official channels."

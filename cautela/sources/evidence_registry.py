@@ -13,7 +13,7 @@ PLATFORM = "cautela"
 REGISTERED = (
     (
         "official_scam_guidance",
-        "Reviewed Scam Guidance",
+        "Checked advice on tricks",
         "Advice on typical tricks, checked by a person.",
         ("official_style_guidance", "reviewed", "current", "high", "true", "primary"),
         "false",
@@ -21,7 +21,7 @@ REGISTERED = (
     ),
     (
         "verified_domains",
-        "Verified Demonstration Domains",
+        "Sender domains for demonstration",
         "Made-up sender domains for trying out the domain check.",
         ("demonstration", "reviewed", "current", "medium", "true", "domain_demo"),
         "true",
@@ -29,7 +29,7 @@ REGISTERED = (
     ),
     (
         "synthetic_scam_patterns",
-        "Synthetic Scam Pattern Library",
+        "Invented message patterns",
         "Invented examples in two languages; they support, but do not decide.",
         ("synthetic", "reviewed", "current", "medium", "supporting_only", "pattern_support"),
         "true",
@@ -37,7 +37,7 @@ REGISTERED = (
     ),
     (
         "community_reports",
-        "Unverified Community Reports",
+        "Reports from users, unchecked",
         "What users sent in, masked and not yet checked.",
         ("community", "unverified", "current", "low", "false", "excluded_until_reviewed"),
         "true",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cautela.operators import dataset, metrics
 from cautela.operators.split import holdout_sizes, stratified_split
 from cautela.operators.validation import check_training_size, require_columns
+from cautela.plans import steps, training
 from cautela.plans.training import build_training_dataset, build_training_dataset_from_files
 from cautela.sources import labelled
 from cautela.sources.curated import curated_messages
@@ -135,3 +136,40 @@ def test_ham_spam_file(spark, tmp_path):
     assert [(r["label"], r["text"]) for r in rows] == [(0, "see you soon"), (1, "win, now")]
     with pytest.raises(Exception, match="Unexpected label"):
         labelled.ham_spam_records(raw, F.lit("2026-01-01"), F.lit(1)).collect()
+
+
+def test_a_failed_build_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    sources = [("synthetic", synthetic_messages(spark, 30, 3))]
+    folder, whole = str(tmp_path / "job"), build_training_dataset(sources, str(tmp_path / "whole"), 3)
+
+    def broken(*_):
+        raise OSError("lost between two steps")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(training, "shuffled", broken)
+        with pytest.raises(OSError):
+            build_training_dataset(sources, folder, 3)
+    with monkeypatch.context() as patch:
+        patch.setattr(training, "resolve_texts", broken)  # finished before, not to be done again
+        second = build_training_dataset(sources, folder, 3)
+    assert second.built == ("dataset", "manifest") and whole.built == ("resolved", "dataset", "manifest")
+    assert second.manifest.first() == whole.manifest.first()
+    assert sorted(second.dataset.collect()) == sorted(whole.dataset.collect())
+    assert build_training_dataset(sources, folder, 3).built == ()
+    assert build_training_dataset(sources, folder, 4).built == ("dataset", "manifest")
+    other = [("synthetic", synthetic_messages(spark, 31, 3))]
+    assert build_training_dataset(other, folder, 4).built == ("resolved", "dataset", "manifest")
+    with pytest.raises(ValueError, match="No source"):
+        build_training_dataset([], folder)
+
+
+def test_half_an_output_does_not_count(spark, tmp_path):
+    job = steps.Steps(spark, str(tmp_path))
+    with pytest.raises(Exception, match="halfway"):
+        job.run("one", "a", lambda: spark.range(10).select(F.raise_error(F.lit("halfway")).alias("x")))
+    assert job.run("one", "a", lambda: spark.range(10)).count() == 10 and job.built == ["one"]
+    assert job.run("one", "a", lambda: spark.range(99)).count() == 10
+    assert job.run("one", "b", lambda: spark.range(5)).count() == 5
+    frame = spark.range(100).selectExpr("id", "id % 7 AS x")
+    assert steps.content_fingerprint(frame) == steps.content_fingerprint(frame.repartition(7).orderBy("x"))
+    assert steps.content_fingerprint(frame) != steps.content_fingerprint(frame.withColumnRenamed("x", "y"))

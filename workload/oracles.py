@@ -7,6 +7,8 @@ text that they change.
 
 from __future__ import annotations
 
+from cautela.operators import catalog
+from cautela.operators import classifier as cl
 from cautela.operators import evidence as ev
 from cautela.operators import reports as rp
 from cautela.operators import scoring as sc
@@ -491,6 +493,23 @@ ORACLES["manifest"] = with_(*KEPT, FINGERPRINT) + (
     "(SELECT count(*) FROM clean) - row_count AS duplicates_removed, 42 AS random_seed FROM fingerprint"
 )
 
+ORACLES["prepared_dataset"] = with_(*KEPT, FINGERPRINT) + (
+    "SELECT 'sha256:' || substr(sha256, 1, 16) AS dataset_version, sha256, row_count, "
+    f"{json_counts('label')} AS class_counts, {json_counts('source')} AS source_counts, {json_counts('source_type')} AS source_type_counts, "
+    "(SELECT count(*) FROM conflicts) AS conflicting_texts_removed, (SELECT count(*) FROM clean) - row_count AS duplicates_removed, "
+    "'quality,toxic,manual' AS input_files, 42 AS random_seed, '' AS built_again, row_count AS rows_written FROM fingerprint"
+)
+ORACLES["table_columns"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows, (SELECT CASE WHEN count(*) = 0 THEN 'complete' ELSE '{t} is missing columns: [' || "
+    "string_agg(chr(39) || c || chr(39), ', ' ORDER BY c) || ']' END FROM (VALUES ('text'), ('lang'), ('role')) w(c) "
+    f"WHERE c NOT IN (SELECT column_name FROM information_schema.columns WHERE table_name = '{t}')) AS verdict FROM {t}"
+    for t in views.TEXT_TABLES
+)
+ORACLES["required_evidence"] = (
+    "SELECT name, count(item_id) AS records, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM (VALUES ('short'), ('long'), ('none')) k(name) "
+    "LEFT JOIN benchmark ON (name = 'short' AND length(text) < 300) OR (name = 'long' AND length(text) >= 300) GROUP BY name"
+)
+
 
 def synthetic_messages() -> str:
     def pick(slot: str, size: int) -> str:
@@ -707,6 +726,26 @@ PREDICTIONS = [
     "f AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, "
     "tn + fp AS s0, tp + fn AS s1 FROM m)",
 ]
+HOLD_OUT = [
+    MESSAGES,
+    "sizes AS (SELECT count(*) AS n, ceil(count(*) * 0.2::DOUBLE)::BIGINT AS test_rows FROM messages)",
+]
+ORACLES["model_status"] = with_(*HOLD_OUT) + (
+    f"SELECT case_name, good AS available, CASE WHEN good THEN {lit(cl.MODEL_VERSION)} END AS model_version, "
+    "CASE WHEN good THEN 'all-messages' END AS dataset_version, CASE WHEN good THEN n - test_rows END AS training_rows, good AS dated, "
+    "case_name = 'unreadable' AS unable, CASE WHEN good THEN n ELSE 0 END AS alike FROM sizes, "
+    "(VALUES ('available', true), ('fallback', true), ('missing', false), ('unreadable', false)) k(case_name, good)"
+)
+CARD = catalog.CardTexts()
+ORACLES["model_metadata"] = with_(*HOLD_OUT) + (
+    f"SELECT {lit(CARD.name)} AS name, {lit(CARD.task)} AS task, {lit(CARD.input_type)} AS input_type, {lit(CARD.lifecycle)} AS lifecycle, "
+    f"{lit(cl.MODEL_VERSION)} AS model_version, 'all-messages' AS dataset_version, n - test_rows AS training_rows, test_rows, "
+    "1 AS positive_label, 'suspicious' AS positive_label_name, 'C=2.0;character_ngram_range=3-5;class_weight=balanced;"
+    "classifier=LogisticRegression;max_iter=2000;random_seed=42;test_size=0.2;word_ngram_range=1-2' AS hyper_params, "
+    "'accuracy,f1_suspicious,precision_suspicious,recall_suspicious,roc_auc' AS metrics, "
+    f"{lit('|'.join(CARD.primary_uses))} AS primary_uses, {lit('|'.join(CARD.out_of_scope_uses))} AS out_of_scope_uses, "
+    f"{lit(' | '.join(cl.LIMITATIONS))} AS limitations, test_rows AS confusion_total FROM sizes"
+)
 ORACLES["confusion_matrix"] = with_(*PREDICTIONS) + (
     "SELECT 0 AS actual, 0 AS predicted, tn AS messages FROM c UNION ALL SELECT 0, 1, fp FROM c "
     "UNION ALL SELECT 1, 0, fn FROM c UNION ALL SELECT 1, 1, tp FROM c"
@@ -779,6 +818,12 @@ def decisions() -> list[str]:
 
 
 ORACLES["evidence_decisions"] = with_(*decisions()) + "SELECT * EXCLUDE (nation_key) FROM decisions"
+OWN = "lower(trim(CASE c_nationkey % 3 WHEN 0 THEN upper(c_mktsegment) WHEN 1 THEN ' ' ELSE NULL END))"
+ORACLES["property_lookup"] = (
+    "SELECT case_name, 'urn:source:' || c_custkey AS urn, CASE case_name WHEN 'map' THEN {0} WHEN 'second_spelling' THEN {0} "
+    "WHEN 'own_column' THEN coalesce({1}, {0}) ELSE '' END AS value FROM customer, "
+    "(VALUES ('map'), ('second_spelling'), ('own_column'), ('missing'), ('nowhere')) k(case_name)"
+).format(choice("review_status"), OWN)
 ORACLES["evidence_summary"] = with_(*decisions()) + (
     "SELECT *, 'Selected ' || selected_sources || ' evidence source(s): ' || primary_sources || ' primary and ' || "
     "supporting_sources || ' supporting. Excluded ' || excluded_sources || ' source(s) because they did not satisfy the trust policy.' "

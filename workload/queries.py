@@ -16,11 +16,13 @@ from cautela.operators import catalog, classifier, dataset, evidence, features,
 from cautela.operators.rules import rule_catalogue
 from cautela.operators.split import stratified_split
 from cautela.operators.validation import message_reject_reason, report_reject_reason
-from cautela.plans import assess
+from cautela.plans import assess, training
 from cautela.session import checkpoint_root, cut_lineage
 from cautela.sources import evidence_files, evidence_registry, labelled, message_files, synthetic
 from cautela.sources.curated import curated_messages
+from cautela.sources.folders import Files
 from cautela.sources.schemas import LABELLED_COLUMNS
+from cautela.sources.sinks import write_dataset
 from cautela.streaming import messages as message_streams
 from cautela.streaming import reports as report_streams
 from workload import views
@@ -391,6 +393,52 @@ def manifest(spark, sf):
     ).withColumn("source_names", F.array_join("source_names", ","))
 
 
+@query
+def prepared_dataset(spark, sf):
+    """The training-set job over its written steps, every field of its manifest; called twice, built once."""
+    folder, sources = _run_folder(spark), [*views.labelled_sources(spark, sf), ("manual", curated_messages(spark))]
+    training.build_training_dataset(sources, folder)
+    again = training.build_training_dataset(sources, folder)
+    maps = [F.to_json(c).alias(c) for c in ("class_counts", "source_counts", "source_type_counts")]
+    return again.manifest.select(
+        "dataset_version", "sha256", "row_count", *maps, "conflicting_texts_removed", "duplicates_removed",
+        F.array_join("input_files", ",").alias("input_files"), "random_seed",
+        F.lit(",".join(again.built)).alias("built_again"), again.dataset.agg(F.count("*")).scalar().alias("rows_written"),
+    )
+
+
+@query
+def table_columns(spark, sf):
+    """The columns that each text table lacks for a training set."""
+    parts = []
+    for name in views.TEXT_TABLES:
+        rows = views.read(spark, sf, name)
+        try:
+            validation.require_columns(rows, {"text", "lang", "role"}, name)
+            verdict = "complete"
+        except ValueError as exc:
+            verdict = str(exc)
+        parts.append(rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows", F.lit(verdict).alias("verdict")))
+    return reduce(DataFrame.union, parts)
+
+
+@query
+def required_evidence(spark, sf):
+    """An evidence file of the benchmark items per kind of length; the one without records is refused."""
+    folder, items, parts = _run_folder(spark), views.read(spark, sf, "benchmark"), []
+    size = F.char_length("text")
+    for name, kind in (("short", size < 300), ("long", size >= 300), ("none", size < 0)):
+        line = F.concat_ws(",", F.col("item_id").cast("string"), F.lit(name), _quoted(F.col("text")), F.lit("reviewed"), F.lit("true"))
+        _file(f"{folder}/{name}", "report_id,category,sanitised_text,review_status,allowed_for_decision", items.filter(kind).select(line.alias("line")))
+        try:
+            rows = evidence_files.read_required_evidence(spark, f"{folder}/{name}", "community_reports")
+            parts.append(rows.agg(F.lit(name).alias("name"), F.count("*").alias("records"), F.sum(F.char_length("sanitised_text")).alias("characters")))
+        except ValueError as exc:
+            refused = str(exc).endswith("contains no records")
+            parts.append(spark.createDataFrame([(name, 0, 0 if refused else -1)], "name string, records long, characters long"))
+    return reduce(DataFrame.union, parts)
+
+
 @query
 def synthetic_messages(spark, sf):
     """One generated message per class and order."""
@@ -723,7 +771,65 @@ def classifier_scores(spark, sf):
     orders = assess.with_normalised_text(views.order_messages(views.read(spark, sf, "orders")))
     rows = loaded.assess(orders)
     ml = F.col("machine_learning")
-    return rows.select("message_id", ml["predicted_label"].alias("predicted_label"), ml["score_contribution"].alias("score_contribution"))
+    fields = ("predicted_label", "suspicious_probability", "confidence", "score_contribution")
+    return rows.select("message_id", *(ml[c].alias(c) for c in fields))
+
+
+def _damage(spark, folder):
+    """Put something else in the place of a saved model's description."""
+    files = Files(spark, f"{folder}/model/metadata")
+    for part in files.match("part-*"):
+        files.delete(part)
+    files.create("part-00000", {"no": "model"})
+
+
+@query
+def model_status(spark, sf):
+    """Status of published models - read back, missing, unreadable, and unreadable with an older one to fall back to.
+
+    Beside it the messages that the loaded model scores exactly as the fitted one did.
+    """
+    root, rows = _run_folder(spark), views.messages(spark, sf).withColumnRenamed("message_id", "record_id")
+    words, characters = SMALL_MODEL
+    result = classifier.train_classifier(rows, "all-messages", word_features=words, character_features=characters)
+    for case in ("available", "unreadable", "fallback", "fallback"):
+        version = classifier.publish_classifier(result, f"{root}/{case}")
+    _damage(spark, f"{root}/fallback/{version}")
+    unreadable = Files(spark, f"{root}/unreadable")
+    _damage(spark, f"{root}/unreadable/{unreadable.read(unreadable.match('pointer-*.json')[0])['version']}")
+
+    def scores(model):
+        return classifier.score_messages(model, rows, "text").select("record_id", "suspicious_probability")
+
+    parts = []
+    for case in ("available", "fallback", "missing", "unreadable"):
+        loaded = classifier.load_published(spark, f"{root}/{case}")
+        alike = F.lit(0).cast("long")
+        if loaded.available:
+            alike = scores(loaded.model).join(scores(result.model), ["record_id", "suspicious_probability"]).agg(F.count("*")).scalar()
+        status = loaded.status(spark).withColumn("alike", alike)
+        parts.append(status.select(
+            F.lit(case).alias("case_name"), "available", "model_version", "dataset_version", "training_rows",
+            F.col("trained_at").isNotNull().alias("dated"), F.col("message").startswith("Unable").alias("unable"), "alike",
+        ))
+    return reduce(DataFrame.union, parts)
+
+
+@query
+def model_metadata(spark, sf):
+    """What metadata and card say whatever the fit finds, for a model of all messages."""
+    rows = views.messages(spark, sf).withColumnRenamed("message_id", "record_id")
+    words, characters = SMALL_MODEL
+    result = classifier.train_classifier(rows, "all-messages", word_features=words, character_features=characters)
+    metadata = classifier.metadata_frame(spark, result.metadata)
+    card = catalog.model_card(metadata, classifier.metric_strings(result.evaluation), result.confusion)
+    hyper = F.array_join(F.transform(F.array_sort(F.map_entries("hyper_params")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return card.select(
+        "name", "task", "input_type", "lifecycle", "model_version", "dataset_version", "training_rows", "test_rows", "positive_label",
+        "positive_label_name", hyper.alias("hyper_params"), F.array_join(F.array_sort(F.map_keys("training_metrics")), ",").alias("metrics"),
+        F.array_join("primary_uses", "|").alias("primary_uses"), F.array_join("out_of_scope_uses", "|").alias("out_of_scope_uses"),
+        "limitations", result.confusion.agg(F.sum("messages")).scalar().alias("confusion_total"),
+    )
 
 
 @query
@@ -747,6 +853,24 @@ def evidence_decisions(spark, sf):
     return evidence.decide_sources(views.evidence_sources(spark, sf))
 
 
+@query
+def property_lookup(spark, sf):
+    """An own column wins over the map, the map's second spelling is read, a missing key is empty."""
+    sources = views.evidence_sources(spark, sf)
+    own = F.when(F.col("nation_key") % 3 == 0, F.upper("description")).when(F.col("nation_key") % 3 == 1, F.lit(" "))
+    second = sources.withColumnRenamed("custom_properties", "customProperties")
+    found = lambda rows, key: evidence.property_value(rows, key)
+    parts = {
+        "map": (sources, "review_status"),
+        "second_spelling": (second, "review_status"),
+        "own_column": (second.withColumn("review_status", own), "review_status"),
+        "missing": (sources, "no_such_key"),
+        "nowhere": (sources.drop("custom_properties"), "review_status"),
+    }
+    rows = [frame.select(F.lit(case).alias("case_name"), "urn", found(frame, key).alias("value")) for case, (frame, key) in parts.items()]
+    return reduce(DataFrame.union, rows)
+
+
 @query
 def evidence_summary(spark, sf):
     """E5, E6 per nation."""
@@ -882,7 +1006,7 @@ def written_profiles(spark, sf):
     folder, frames = _run_folder(spark), []
     for table in ("customer", "documents", "labels", "orders"):
         before = time.time() - 2
-        views.read(spark, sf, table).write.parquet(f"{folder}/{table}")
+        write_dataset(views.read(spark, sf, table), f"{folder}/{table}")
         written = spark.read.parquet(f"{folder}/{table}")
         modified = catalog.last_modified(written).select(
             F.unix_micros("last_modified_utc").between(int(before * 1e6), int((time.time() + 2) * 1e6))
