@@ -5,12 +5,14 @@ whatever their counts, normalised by the sizes of the two sets. Landmarks from t
 one-versus-rest ridge regression in its space gives a weight per landmark and language. Texts are scored in batches:
 presence matrix times landmark matrix, then times the weights.
 
-Characters are lower-cased one by one; the ``LETTERS`` most frequent letters of the landmarks have a code each, all other
-letters share one, and everything else is the code of a gap. So presence fits a table of fixed size, and whole texts of any
-length are read.
-
-Training: at most ``PER_LANGUAGE`` labelled texts of each language of at most ``MAX_CHARS`` characters (longer ones are
-left out, not cut), the same ones at every partitioning. Prediction reads the text only. A null text or one without
+Characters are lower-cased one by one; every letter of every script counts as itself, all else as a gap. An n-gram is a
+place of a table of ``WIDTH`` that the hash of its characters gives, so presence has a fixed size and whole texts of any length
+are read; two n-grams share a place with a chance of 1 / WIDTH.
+
+Training: labelled texts of at most ``MAX_CHARS`` characters (longer ones are left out, not cut), at most ``PER_LANGUAGE``
+different ones of each language and about ``TRAINING_ROWS`` in all, shared equally by however many languages there are; the same
+ones at every partitioning. Repeated rows count once. ``LANDMARKS`` of a language, ``ALL_LANDMARKS`` at most, are the landmarks.
+Prediction reads the text only. A null text or one without
 letters is ``und`` with score 0, and so is every text if there is nothing to learn from; repeated rows are predicted each;
 extra columns are passed through; an empty table gives no rows.
 """
@@ -30,9 +32,10 @@ from pyspark.sql import types as T
 
 from cautela.llm.common import slices, utf8
 
-LONGEST, LETTERS = 3, 38
-#: Bounds of the training sample, of the landmarks taken from it per language, and of the languages learned (most rows first).
-PER_LANGUAGE, MAX_CHARS, LANDMARKS, LANGUAGES = 400, 20_000, 60, 200
+LONGEST, WIDTH_BITS = 3, 18
+WIDTH = 1 << WIDTH_BITS
+#: Bounds of the training sample and of the landmarks taken from it. No language is left out for them.
+PER_LANGUAGE, TRAINING_ROWS, MAX_CHARS, LANDMARKS, ALL_LANDMARKS = 400, 20_000, 8_000, 60, 3_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Texts of a slice whose presence is held at once.
@@ -51,59 +54,49 @@ def folded() -> np.ndarray:
     return table
 
 
-class Alphabet:
-    """Codes: 0 a gap, 1 a letter outside the alphabet, 2... the letters of the landmarks."""
-
-    def __init__(self, letters: np.ndarray):
-        self.size = len(letters) + 2
-        self.codes = (folded() > 0).astype(np.int64)
-        for code, letter in enumerate(letters.tolist(), 2):
-            self.codes[folded() == letter] = code
-        self.starts = np.cumsum([0] + [self.size**n for n in range(1, LONGEST + 1)])
-        self.width = int(self.starts[-1])
-
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams each text contains, and whether it has a letter. Gaps have no 1-gram, runs of gaps none at all."""
-        joined = "\n".join(texts).encode("utf-32-le", "surrogatepass")
-        codes = self.codes[np.frombuffer(joined, "<u4")]
-        lengths = np.array([len(t) + 1 for t in texts])
-        rows = np.repeat(np.arange(len(texts)), lengths)[: len(codes)]
-        # One gap between words is enough; the line break between two texts is such a gap.
-        keep = codes > 0
-        keep[1:] |= codes[:-1] > 0
-        codes, rows = codes[keep], rows[keep]
-        found = np.zeros((len(texts), self.width), bool)
-        for n in range(1, LONGEST + 1):
-            count = len(codes) - n + 1
-            if count <= 0:
-                break
-            value = np.zeros(count, np.int64)
-            for k in range(n):
-                value = value * self.size + codes[k : k + count]
-            inside = rows[:count] == rows[n - 1 :]
-            if n == 1:
-                inside &= codes > 0
-            found[rows[:count][inside], self.starts[n - 1] + value[inside]] = True
-        return found, np.bincount(rows[codes > 0], minlength=len(texts)) > 0
+_RANDOM = np.random.default_rng(20_250_305)
+PLACES = _RANDOM.integers(1, 2**63, LONGEST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _places(codes: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n-grams that begin at each letter."""
+    value = np.full(len(codes) - n + 1, n, np.uint64) * PLACES[-1]
+    for k in range(n):
+        value += codes[k : k + len(value)].astype(np.uint64) * PLACES[k]
+    value ^= value >> np.uint64(29)
+    return ((value * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
+
+
+def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams each text contains, and whether it has a letter. Gaps have no 1-gram, runs of gaps none at all."""
+    joined = "".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass")
+    codes = folded()[np.frombuffer(joined, "<u4")]
+    lengths = np.array([len(t) + 1 for t in texts])
+    rows = np.repeat(np.arange(len(texts)), lengths)
+    # One gap after a word is enough; the line break after a text is such a gap.
+    keep = codes > 0
+    keep[1:] |= codes[:-1] > 0
+    codes, rows = codes[keep], rows[keep]
+    found = np.zeros((len(texts), WIDTH), bool)
+    for n in range(1, min(LONGEST, len(codes)) + 1):
+        inside = rows[: len(codes) - n + 1] == rows[n - 1 :]
+        if n == 1:
+            inside &= codes > 0
+        found[rows[: len(inside)][inside], _places(codes, n)[inside]] = True
+    return found, np.bincount(rows[codes > 0], minlength=len(texts)) > 0
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    letters: np.ndarray
     columns: np.ndarray  # n-grams that some landmark contains
     landmarks: np.ndarray
     landmark_sizes: np.ndarray
     weights: np.ndarray
 
-    def __post_init__(self):
-        self._alphabet = None
-
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One-versus-rest scores (texts x languages) and which texts have letters."""
-        if self._alphabet is None:
-            self._alphabet = Alphabet(self.letters)
-        found, has_letters = self._alphabet.presence(texts)
+        found, has_letters = presence(texts)
         values = kernel(found[:, self.columns], found.sum(axis=1), self.landmarks, self.landmark_sizes)
         return values @ self.weights, has_letters
 
@@ -121,21 +114,21 @@ def fit_kernel_model(rows: list[tuple[str, str]]) -> LanguageModel | None:
     if not rows:
         return None
     languages = sorted({r[1] for r in rows})
+    most = max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
     chosen, taken = [], dict.fromkeys(languages, 0)
     for i, (_, language) in enumerate(rows):
-        if taken[language] < LANDMARKS:
+        if taken[language] < most:
             taken[language] += 1
             chosen.append(i)
-    points = np.concatenate([fold[np.frombuffer(rows[i][0].encode("utf-32-le", "surrogatepass"), "<u4")] for i in chosen])
-    letters, counts = np.unique(points[points > 0], return_counts=True)
-    letters = np.sort(letters[np.argsort(-counts, kind="stable")[:LETTERS]])
-    alphabet = Alphabet(letters)
-    whole = alphabet.presence([rows[i][0] for i in chosen])[0]
-    columns, landmark_sizes = np.flatnonzero(whole.any(axis=0)), whole.sum(axis=1)
-    landmarks = whole[:, columns]
+    # With more languages than landmarks the rest of them is told from the landmarks of the others.
+    chosen = chosen[:: -(-len(chosen) // ALL_LANDMARKS)]
+    parts = [presence([rows[i][0] for i in chosen[start : start + ROWS]])[0] for start in range(0, len(chosen), ROWS)]
+    columns = np.flatnonzero(np.any([p.any(axis=0) for p in parts], axis=0))
+    landmark_sizes = np.concatenate([p.sum(axis=1) for p in parts])
+    landmarks = np.concatenate([p[:, columns] for p in parts])
     parts = []
     for start in range(0, len(rows), ROWS):
-        part = alphabet.presence([t for t, _ in rows[start : start + ROWS]])[0]
+        part = presence([t for t, _ in rows[start : start + ROWS]])[0]
         parts.append(kernel(part[:, columns], part.sum(axis=1), landmarks, landmark_sizes))
     # Nyström: K(x, L) (K(L, L))^-1/2 are the features of ridge regression.
     values, vectors = np.linalg.eigh(kernel(landmarks, landmark_sizes, landmarks, landmark_sizes).astype(np.float64))
@@ -148,26 +141,27 @@ def fit_kernel_model(rows: list[tuple[str, str]]) -> LanguageModel | None:
     weight = (targets / share).sum(axis=1) * len(rows) / len(languages)
     gram = features.T @ (features * weight[:, None]) + RIDGE * len(rows) * np.eye(features.shape[1])
     weights = root @ np.linalg.solve(gram, features.T @ (targets * weight[:, None]))
-    return LanguageModel(languages, letters, columns, landmarks, landmark_sizes, weights)
+    return LanguageModel(languages, columns, landmarks, landmark_sizes, weights)
 
 
 def training_sample(df: DataFrame, text: str, language: str, row_id: str) -> list[tuple[str, str]]:
-    """At most ``PER_LANGUAGE`` (text, language) rows of each language: those with the lowest hash of their id.
+    """The (text, language) rows with the lowest hash of id and text, each once; see the bounds above.
 
-    Counts per language set the share of the hash range that is read, with room for chance; so few rows more than are
-    kept reach the driver, and no group is sorted.
+    Counts of different rows per language set the share of the hash range that is read, with room for chance; so few rows more
+    than are kept reach the driver, however often a row is repeated, and no group is sorted.
     """
     usable = df.select(F.col(text).alias("text"), F.col(language).alias("language"), F.xxhash64(row_id, text).alias("h"))
     usable = usable.filter(F.col("text").isNotNull() & F.col("language").isNotNull() & (F.char_length("text") <= MAX_CHARS))
-    counts = usable.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()
+    counts = usable.select("language", "h").distinct().groupBy("language").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.language, min(1.0, (1.3 * PER_LANGUAGE + 60) / r.n))))
+    most = max(1, min(PER_LANGUAGE, TRAINING_ROWS // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.language, min(1.0, (1.3 * most + 60) / r.n))))
     place = (F.col("h") / F.lit(2.0**64)) + 0.5
-    sample = usable.filter(place <= share[F.col("language")]).collect()
+    sample = usable.filter(place <= share[F.col("language")]).dropDuplicates(["language", "h"]).collect()
     kept: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r.h, r.text)):
-        if len(kept.setdefault(r.language, [])) < PER_LANGUAGE:
+        if len(kept.setdefault(r.language, [])) < most:
             kept[r.language].append((r.text, r.language))
     return [row for language in sorted(kept) for row in kept[language]]
 
@@ -177,13 +171,15 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", kee
 
     The score is the winning regression value held to 0...1 (1 stands for the training texts of that language).
     """
+    if "language_id" in df.columns:
+        raise ValueError("The table has a column named like the result: language_id")
     others = [c for c in df.columns if keep_text or c != text]
     row = F.struct(*(F.col(c) for c in others)) if others else F.struct(F.lit(None).alias("none"))
     packed = df.select(F.col(text).cast("string").alias("_text"), row.alias("_row"))
     schema = T.StructType(
         [packed.schema["_row"], T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType())]
     )
-    handed = df.sparkSession.sparkContext.broadcast(model)  # bounded: LANDMARKS x LANGUAGES rows of a fixed table
+    handed = df.sparkSession.sparkContext.broadcast(model)  # bounded: ALL_LANDMARKS rows of a table of WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handed.value

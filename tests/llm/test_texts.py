@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cautela.llm import language_id
 from cautela.llm.common import Scratch, table
-from cautela.llm.language_id import UNKNOWN, fit_kernel_model, held_out, identify, learn_languages, training_sample
+from cautela.llm.language_id import RIDGE, UNKNOWN, fit_kernel_model, held_out, identify, learn_languages, presence, training_sample
 from cautela.llm.packing import SIZES, cost, pack, pack_documents, pack_lengths, pack_once
 from cautela.llm.personal_data import KINDS, find_personal_data, fit_spans, mask_personal_data, written
 from cautela.llm.queries import BYTE_BPE, QUERIES
@@ -116,10 +118,68 @@ def test_training_leaves_the_held_out_fold_alone(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     spoiled = frame.withColumn("lang", F.when(held_out("doc_id"), "xx").otherwise(F.col("lang")))
     assert learn_languages(spoiled).languages == ["en"]
-    assert len(training_sample(frame.union(frame), "text", "lang", "doc_id")) == 400
+    assert len(training_sample(frame.union(frame), "text", "lang", "doc_id")) == 200  # repeated rows count once
     assert fit_kernel_model([("123", "en")]) is None
 
 
+def letter_grams(text):
+    letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
+    letters = re.sub(" +", " ", letters).lstrip(" ") + " "
+    return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)} - {" "}
+
+
+def test_kernel_and_weights_by_definition():
+    pick = random.Random(9)
+    word = lambda letters: "".join(pick.choice(letters) for _ in range(pick.randint(1, 7)))
+    texts = [" ".join(word("abcdé" if i % 2 else "xyzaß") for _ in range(pick.randint(1, 40))) for i in range(60)] + ["中文 한국", "a", "A1b,,c"]
+    found, letters = presence(texts)
+    sets = [letter_grams(t) for t in texts]
+    assert letters.all() and all(len(s) - 2 <= n <= len(s) for n, s in zip(found.sum(axis=1), sets, strict=True))
+    common = found.astype(int) @ found.T.astype(int)
+    plain = np.array([[len(a & b) for b in sets] for a in sets])
+    assert np.abs(common - plain).max() <= 2 and (common >= plain).all()  # a few n-grams of all share a place
+    rows = [(t, "odd" if i % 2 else "even") for i, t in enumerate(texts[:60])]
+    model = fit_kernel_model(rows)
+    sizes = found.sum(axis=1)[:60]
+    gram = common[:60, :60] / np.sqrt(np.outer(sizes, sizes))
+    # All texts are landmarks, so this is kernel ridge regression on the whole kernel (directions above the rank).
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-6 * values.max()
+    features = vectors[:, keep] * np.sqrt(values[keep])
+    y = np.array([[language == "even", language == "odd"] for _, language in rows], float)
+    plain = features @ np.linalg.solve(features.T @ features + RIDGE * 60 * np.eye(keep.sum()), features.T @ y)
+    assert np.allclose(model.scores(texts[:60])[0], plain, atol=1e-3)
+
+
+SCRIPTS = {
+    "latin": "abcdefghijklmnopqrst", "latin2": "uvwxyzäöüßéèêçñó", "greek": "αβγδεζηθικλμνξοπρ", "cyrillic": "абвгдежзийклмнопр",
+    "arabic": "ابتثجحخدذرزسشصضط", "devanagari": "कखगघचछजझटठडढतथदध", "thai": "กขคงจฉชซญดตถทธนบ", "hangul": "가나다라마바사아자차카타파하고노",
+    "hiragana": "あいうえおかきくけこさしすせそた", "han": "的一是不了人我在有他这为之大来以", "han2": "水火木金土日月山川田石花草虫鱼鸟",
+}
+
+
+def test_languages_of_every_script_are_told_apart(spark):
+    pick, rows = random.Random(2), []
+    for name, letters in SCRIPTS.items():
+        for _ in range(150):
+            words = ("".join(pick.choice(letters) for _ in range(pick.randint(1, 6))) for _ in range(pick.randint(3, 30)))
+            rows.append((len(rows), " ".join(words), name))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held", held_out("doc_id"))
+    told = identify(frame, learn_languages(frame)).filter("held").collect()
+    assert len(told) > 300 and sum(r.language_id.language == r.lang for r in told) >= 0.98 * len(told)
+    many = frame.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30)))).filter("doc_id % 40 < 2").drop("copy")
+    sample = training_sample(many, "text", "lang", "doc_id")
+    assert len(sample) == many.select("doc_id").distinct().count()  # repeated rows count once, none is lost
+
+
+def test_any_number_of_languages_is_learned(monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_LANDMARKS", 40)
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    rows = [(" ".join(letters[7 * k + (j + i) % 7] * 2 for j in range(9)), f"l{k:03}") for k in range(100) for i in range(3)]
+    model = fit_kernel_model(rows)
+    assert len(model.languages) == 100 and len(model.landmarks) <= 40
+
+
 def exhaustive(lengths, sizes):
     """Least cost over all partitions of a few items."""
     if not lengths:
