@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -54,7 +55,17 @@ class Scratch:
         saved._scratch_path = path
         return saved
 
-    def drop(self, saved: DataFrame) -> None:
+    def release(self) -> None:
+        """Have the shuffle files of finished writes deleted: Spark does so when the driver's memory of them is collected,
+        which a job of many writes and few objects otherwise waits for until the disks are full."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop(self, *tables: DataFrame) -> None:
+        for saved in tables:
+            self._drop(saved)
+
+    def _drop(self, saved: DataFrame) -> None:
         location = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
         location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 

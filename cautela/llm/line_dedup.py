@@ -42,9 +42,14 @@ def normal_line(line: Column) -> Column:
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Sorted distinct hashes of the shingles of a normalised line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    """Sorted distinct hashes of the shingles of a normalised line.
+
+    In UTF-32 every character has four bytes, so a shingle is cut out without counting up to it.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(line) - SHINGLE, F.lit(0)))
+    cut = lambda raw: F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * SHINGLE))))
+    # Bound as an array's element, the line is encoded once and not for every shingle.
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), cut))))
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -58,12 +63,12 @@ def _range(x: Column) -> Column:
     return F.shiftright(x, RANGE_SHIFT) + RANGES // 2
 
 
-def _bands(df: DataFrame, number: int, width: int, shift: int) -> DataFrame:
+def _bands(df: DataFrame, number: int, width: int, shift: int, used: Column) -> DataFrame:
     """Adds ``bands<number>``: a key for each band of a layout, of its name and the minima in it; they lie side by side."""
     band = lambda x: F.shiftright(_range(x) + shift, width)
-    least, begins = F.col("least"), F.col(f"begins{number}")
+    least, begins, none = F.col("least"), F.col(f"begins{number}"), F.array().cast("array<bigint>")
     found = F.transform("least", lambda x, i: F.when((i == 0) | (band(x) != band(F.get(least, i - 1))), i))
-    df = df.withColumn(f"begins{number}", F.array_compact(found))
+    df = df.withColumn(f"begins{number}", F.when(used, F.array_compact(found)))
 
     def key(begin: Column, j: Column) -> Column:
         size = F.coalesce(F.get(begins, j + 1), F.size("least")) - begin
@@ -71,7 +76,7 @@ def _bands(df: DataFrame, number: int, width: int, shift: int) -> DataFrame:
         enough = (size > 1) | (F.size("h") <= SINGLE)
         return F.when(enough, F.xxhash64(F.lit(number * 100) + band(F.get(least, begin)), part))
 
-    return df.withColumn(f"bands{number}", F.array_compact(F.transform(begins, key)))
+    return df.withColumn(f"bands{number}", F.when(begins.isNull(), none).otherwise(F.array_compact(F.transform(begins, key))))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -79,12 +84,14 @@ def _signed(lines: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     long = F.char_length("line") >= LEAST
     hashed = lines.withColumn("h", F.when(long, shingle_hashes(F.col("line"))).otherwise(none))
-    keyed = hashed.withColumn("least", F.filter("h", lambda x, i: (i == 0) | (_range(x) != _range(F.get(F.col("h"), i - 1)))))
+    before = F.concat(F.array(F.lit(None).cast("long")), "h")
+    first = F.zip_with("h", before, lambda x, y: F.when(y.isNull() | (_range(x) != _range(y)), x))
+    keyed = hashed.withColumn("least", F.array_compact(first))
     n, layouts = F.size("h"), []
     for number, (width, shift, least, below) in enumerate(LAYOUTS):
-        keyed = _bands(keyed, number, width, shift)
         used = (n >= least) if below is None else (n >= least) & (n < below)
-        layouts.append(F.when(used, F.col(f"bands{number}")).otherwise(none))
+        keyed = _bands(keyed, number, width, shift, used)
+        layouts.append(F.col(f"bands{number}"))
     return keyed.select("doc", "text_key", "no", F.xxhash64("line").alias("id"), n.alias("n"), F.concat(*layouts).alias("bands"))
 
 
@@ -114,7 +121,10 @@ def _alike(pairs: DataFrame, df: DataFrame, signed: DataFrame, scratch: Scratch)
     y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
     met = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     united = F.size("x") + F.size("y") - F.col("common")
-    return met.filter(SIMILARITY_PARTS * F.col("common") >= SIMILARITY_NEEDED * united).select("a", "b")
+    links = scratch.save(met.filter(SIMILARITY_PARTS * F.col("common") >= SIMILARITY_NEEDED * united).select("a", "b"))
+    scratch.drop(ids, places, sets)
+    scratch.release()
+    return links
 
 
 def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -123,12 +133,16 @@ def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataF
     # Two numbers per key, not structs: they are added up in a hash table, without sorting, and are small to shuffle.
     shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
     shared = scratch.save(shared.filter(F.col("lead") < F.col("last")).select("key", "lead"))
+    scratch.release()
     members = prefilter(rows, shared.select("key"), "key").distinct().join(shared, "key")
     members = scratch.save(members)
     stars = members.filter(F.col("id") > F.col("lead"))
     tried = scratch.save(stars.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    links = scratch.save(_alike(tried, df, signed, scratch))
+    scratch.drop(shared)
+    scratch.release()
+    links = _alike(tried, df, signed, scratch)
     labels = components(links, scratch)
+    scratch.release()
 
     # Second round: bands with lines of several components. Those of the largest component do not meet each other.
     labelled = members.select("key", "id", "n").join(labels, "id", "left")
@@ -145,9 +159,11 @@ def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataF
     )
     pairs = pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
     pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
+    scratch.drop(members, tried, rest)
+    scratch.release()
     if pairs.isEmpty():
         return labels
-    more = scratch.save(_alike(pairs, df, signed, scratch))
+    more = _alike(pairs, df, signed, scratch)
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)

@@ -279,11 +279,14 @@ def near_duplicates(
     members = scratch.save(prefilter(keys, shared.select("key"), "key").join(shared, "key"))
     stars = members.filter(F.col("id") > F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tried = scratch.save(probable(stars, signature, threshold, miss))
+    scratch.release()
     links = scratch.save(verified(tried, named, parts, needed, scratch).union(hanging))
     labels = components(links, scratch)
+    scratch.release()
 
     rest = _remaining(members.select("key", "id"), signature, labels, threshold, miss, scratch)
     rest = scratch.save(rest.join(tried, ["a", "b"], "left_anti"))
+    scratch.release()
     if not rest.isEmpty():
         more = scratch.save(verified(rest, named, parts, needed, scratch))
         if not more.isEmpty():
