@@ -100,47 +100,40 @@ def _fits(x: Column, y: Column) -> Column:
     return SIMILARITY_PARTS * F.least(x, y) >= SIMILARITY_NEEDED * F.greatest(x, y)
 
 
-def _alike(pairs: DataFrame, df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+def _alike(pairs: DataFrame, df: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of line ids that reach the similarity on their full shingle sets.
 
-    Each line is read again at one place where it stands, so only the documents with such a place are gone through.
+    A line's id is its hash, so the lines that pairs need are known where they stand: only those are shuffled, once each per task.
     """
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    places = prefilter(signed.select("id", "doc", "text_key", "no"), ids, "id").join(ids, "id", "left_semi")
-    places = places.groupBy("id").agg(F.min(F.struct("doc", "text_key", "no")).alias("at"))
-    places = places.groupBy("at.doc", "at.text_key").agg(F.collect_list(F.struct("at.no", "id")).alias("wanted"))
-    places = scratch.save(places)
-    rows = prefilter(df.select("doc", "text_key", "text"), places.select("text_key"), "text_key")
-    # Rows that repeat both id and text would give their lines twice.
-    rows = rows.join(places, ["doc", "text_key"]).withColumn("lines", F.split("text", "\n"))
-    read = rows.select("lines", F.explode("wanted").alias("w"))
-    read = read.select(F.col("w.id").alias("id"), normal_line(F.get(F.col("lines"), F.col("w.no"))).alias("line"))
-    read = read.groupBy("id").agg(F.min("line").alias("line"))
+    lines = _lines(df).select(F.xxhash64("line").alias("id"), "line")
+    read = prefilter(lines, ids, "id").groupBy("id").agg(F.first("line").alias("line")).join(ids, "id", "left_semi")
     sets = scratch.save(read.select("id", shingle_hashes(F.col("line")).alias("h")))
     x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
     met = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     united = F.size("x") + F.size("y") - F.col("common")
     links = scratch.save(met.filter(SIMILARITY_PARTS * F.col("common") >= SIMILARITY_NEEDED * united).select("a", "b"))
-    scratch.drop(ids, places, sets)
+    scratch.drop(ids, sets)
     scratch.release()
     return links
 
 
 def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and component of the lines that are linked to a smaller line id."""
+    """id and component of the lines that are linked to a smaller line id; the table ``signed`` is used up."""
     rows = signed.select(F.explode("bands").alias("key"), "id", "n")
     # Two numbers per key, not structs: they are added up in a hash table, without sorting, and are small to shuffle.
     shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
     shared = scratch.save(shared.filter(F.col("lead") < F.col("last")).select("key", "lead"))
     scratch.release()
-    members = prefilter(rows, shared.select("key"), "key").distinct().join(shared, "key")
-    members = scratch.save(members)
+    # Joined first, so that copies of a line meet without another shuffle.
+    members = scratch.save(prefilter(rows, shared.select("key"), "key").join(shared, "key").distinct())
+    scratch.drop(signed)
     stars = members.filter(F.col("id") > F.col("lead"))
     tried = scratch.save(stars.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     scratch.drop(shared)
     scratch.release()
-    links = _alike(tried, df, signed, scratch)
+    links = _alike(tried, df, scratch)
     labels = components(links, scratch)
     scratch.release()
 
@@ -163,7 +156,7 @@ def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataF
     scratch.release()
     if pairs.isEmpty():
         return labels
-    more = _alike(pairs, df, signed, scratch)
+    more = _alike(pairs, df, scratch)
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
@@ -172,8 +165,9 @@ def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataF
 def removed_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, text_key and the sorted numbers (from 0) of the lines that go, for rows (doc, text_key, text)."""
     signed = scratch.save(_signed(_lines(df)))
+    places = scratch.save(signed.select("doc", "text_key", "no", "id"))
     labels = line_components(df, signed, scratch)
-    placed = signed.select("doc", "text_key", "no", "id").join(labels, "id", "left")
+    placed = places.join(labels, "id", "left")
     placed = scratch.save(placed.select("doc", "text_key", "no", F.coalesce("component", "id").alias("component")))
     place = F.struct("doc", "no", "text_key")
     first = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last"))

@@ -11,7 +11,7 @@ from cautela.llm.language_id import held_out, identify, learn_languages
 from cautela.llm.line_dedup import dedup_lines
 from cautela.llm.near_dedup import near_duplicates
 from cautela.llm.packing import pack_documents
-from cautela.llm.personal_data import BASE_PATTERNS, KINDS, find_personal_data, written
+from cautela.llm.personal_data import BASE_PATTERNS, KINDS, SECRET, find_personal_data, written
 from cautela.llm.quality_rules import BANDS, CHANCE, FALSE_REJECTIONS, RULES, TOP, cutoffs, measure, verdicts
 from cautela.llm.sentence_pieces import encode_pieces
 from cautela.llm.tile_search import nearest
@@ -46,7 +46,7 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.col("personal_data.base")
+    base, spans = F.col("personal_data.base"), F.col("personal_data.spans")
     counts = (
         F.size(F.filter(base, lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{KINDS[kind]}")
         for kind in BASE_PATTERNS
@@ -55,7 +55,9 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *counts,
         F.sha2(written(base), 256).alias("base_sha256"),
-        written(F.col("personal_data.spans")).alias("spans"),
+        written(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.size(F.filter(spans, lambda s: s["kind"] == F.lit(SECRET))).cast("long").alias("n_secret"),
     )
 
 
