@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return scratch
 
 
+def handed_over(df):
+    """The rows as a table in the shared folder: computed once, where a checkpoint computes them twice."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/cautela-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder: survives the loss of any executor."""
     spark = df.sparkSession
