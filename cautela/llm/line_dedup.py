@@ -7,8 +7,7 @@ other exactly; links of a Jaccard similarity of at least ``SIMILARITY`` make com
 each component only the first line - lowest document id, then line number - stays.
 
 * Members of a band meet its smallest line first; what is then still in different components meets in a second round,
-  leaving out pairs inside a component and pairs whose sizes rule the similarity out: small bands as pairs, large ones in
-  blocks inside tasks, which give their links only.
+  leaving out pairs inside a component and pairs whose sizes rule the similarity out.
 * Copies of a line have one hash and are one node: a line that makes up a third of all rows is one key, pre-aggregated
   before each shuffle. Line texts are not shuffled but for those that a candidate pair needs.
 * Lines are cut, joined, grouped and linked by DataFrame operations. Two steps over single rows are numpy over Arrow batches:
@@ -47,8 +46,6 @@ SINGLE = 7
 KEPT_BITS = 44
 #: Bytes of lines, or of pairs of lines, worked on at once; a longer line is a slice of its own. Line ids that a task remembers.
 LINE_SLICE, REMEMBERED = 1 << 20, 1 << 18
-#: Bands up to this size are paired by a join, larger ones in blocks of about so many lines and shingles; shingles counted at once.
-SMALL_BAND, BLOCK_LINES, BLOCK_SHINGLES, COLUMNS = 48, 256, 1 << 18, 1 << 13
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,29 +179,6 @@ def common_shingles(first: pa.Array, second: pa.Array) -> tuple[np.ndarray, np.n
     return n[:count], n[count:], common
 
 
-def common_in_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Numbers of common elements of all sets of two blocks, as products of presence matrices."""
-    counts = np.zeros((len(left), len(right)), np.float32)
-    if not len(left) or not len(right):
-        return counts.astype(np.int64)
-    universe = np.intersect1d(np.concatenate(left), np.concatenate(right))
-
-    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        at = np.searchsorted(universe, values)
-        inside = (at < len(universe)) & (universe[np.minimum(at, len(universe) - 1)] == values) if len(universe) else at < 0
-        return rows[inside], at[inside]
-
-    (x_row, x_at), (y_row, y_at) = places(left), places(right)
-    for start in range(0, len(universe), COLUMNS):
-        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
-        for matrix, row, at in ((x, x_row, x_at), (y, y_row, y_at)):
-            now = (at >= start) & (at < start + COLUMNS)
-            matrix[row[now], at[now] - start] = 1
-        counts += x @ y.T
-    return np.rint(counts).astype(np.int64)
-
-
 def _pair_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in order, cut so that each piece has about ``LINE_SLICE`` bytes of lines or one pair."""
     for batch in batches:
@@ -247,34 +221,6 @@ def _texts(members: DataFrame, df: DataFrame, scratch: Scratch) -> DataFrame:
     return texts
 
 
-def _links_in_blocks(large: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components inside large bands; tasks see a pair of blocks at a time."""
-    left_blocks, right_blocks = (
-        F.ceil(F.greatest(F.col(rows) / BLOCK_LINES, F.col(total) / BLOCK_SHINGLES)).cast("int")
-        for rows, total in (("rows", "total"), ("rows_outside", "total_outside"))
-    )
-    large = large.join(texts, "id")
-    block = F.pmod(F.xxhash64("id", "key"), left_blocks)
-    left = large.withColumn("l", block).withColumn("r", F.explode(F.sequence(F.lit(0), right_blocks - 1)))
-    other = large.filter("outer").withColumn("r", F.pmod(F.xxhash64("id", "key"), right_blocks))
-    other = other.withColumn("l", F.explode(F.sequence(F.lit(0), left_blocks - 1)))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sides = [line_sets(side.column("line").combine_chunks()) for side in (left, right)]
-        common = common_in_blocks(*sides)
-        n, m = (np.array([len(x) for x in side], np.int64) for side in sides)
-        united = n[:, None] + m[None, :] - common
-        i, j = np.nonzero((SIMILARITY_PARTS * common >= SIMILARITY_NEEDED * united) & (common > 0))
-        a, b = left.column("id").to_numpy()[i], right.column("id").to_numpy()[j]
-        apart = left.column("component").to_numpy()[i] != right.column("component").to_numpy()[j]
-        return pa.table({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]})
-
-    # Both sides come from one table: aliases keep their columns apart.
-    columns = [F.col(c).alias(c) for c in ("key", "l", "r", "id", "component", "line")]
-    met = left.select(*columns).groupBy("key", "l", "r").cogroup(other.select(*columns).groupBy("key", "l", "r"))
-    return met.applyInArrow(run, "a long, b long").distinct()
-
-
 def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component of the lines that are linked to a smaller line id; the table ``signed`` is used up."""
     rows = signed.select(F.explode("bands").alias("key"), "id", "n")
@@ -299,32 +245,19 @@ def line_components(df: DataFrame, signed: DataFrame, scratch: Scratch) -> DataF
     # Second round: bands with lines of several components. Those of the largest component do not meet each other.
     labelled = members.select("key", "id", "n").join(labels, "id", "left")
     labelled = labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
-    mixed_bands = sizes.groupBy("key").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("total").alias("total"),
-        F.count("*").alias("parts"),
-        F.max(F.struct("rows", "component", "total")).alias("top"),
-    )
-    mixed_bands = mixed_bands.filter(F.col("parts") > 1).select(
-        "key",
-        "rows",
-        "total",
-        F.col("top.component").alias("main"),
-        (F.col("rows") - F.col("top.rows")).alias("rows_outside"),
-        (F.col("total") - F.col("top.total")).alias("total_outside"),
-    )
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mixed_bands = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top"))
+    mixed_bands = mixed_bands.filter(F.col("parts") > 1).select("key", F.col("top.component").alias("main"))
     rest = scratch.save(labelled.join(mixed_bands, "key").withColumn("outer", F.col("component") != F.col("main")))
-    small, large = rest.filter(F.col("rows") <= SMALL_BAND), rest.filter(F.col("rows") > SMALL_BAND)
-    other = small.filter("outer").select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "component")))
-    pairs = small.join(other, "key").filter(
+    other = rest.filter("outer").select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "component")))
+    pairs = rest.join(other, "key").filter(
         (F.col("component") != F.col("other_component"))
         & (~F.col("outer") | (F.col("id") < F.col("other_id")))
         & _fits(F.col("n"), F.col("other_n"))
     )
     pairs = pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    more = scratch.save(_alike(pairs, texts).union(_links_in_blocks(large, texts)))
+    more = scratch.save(_alike(pairs, texts))
     scratch.drop(members, tried, rest, texts)
     scratch.release()
     if more.isEmpty():

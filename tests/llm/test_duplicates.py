@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cautela.llm.common import Scratch, prefilter, table
 from cautela.llm.components import components
-from cautela.llm.line_dedup import common_in_blocks, common_shingles, dedup_lines, line_sets
+from cautela.llm.line_dedup import common_shingles, dedup_lines, line_sets
 from cautela.llm.near_dedup import fewest_matches, near_duplicates, shingle_sets, surviving
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,14 +215,12 @@ def test_short_lines_are_alike_if_equal(spark):
     assert [found[i].line_dedup.n_removed for i in (1, 2, 3)] == [0, 2, 1]
 
 
-def test_common_shingles_by_pairs_and_blocks():
+def test_common_shingles():
     pick = random.Random(5)
     lines = ["".join(pick.choice("ab é今😀") for _ in range(pick.randrange(0, 60))) for _ in range(80)] + ["", "x" * 40, "123456789"]
     sets = [{x[at : at + 9] for at in range(len(x) - 8)} if len(x) >= 10 else set() for x in lines]
     found = line_sets(pa.array(lines))
     assert [len(x) for x in found] == [len(x) for x in sets]
-    assert common_in_blocks(found, found[:30]).tolist() == [[len(x & y) for y in sets[:30]] for x in sets]
-    assert common_in_blocks([], found).shape == (0, len(found)) and not common_in_blocks(found[-1:], found[-1:]).any()
     n, m, common = common_shingles(pa.array(lines), pa.array(lines[::-1]))
     expected = [(len(x), len(y), len(x & y)) for x, y in zip(sets, sets[::-1], strict=True)]
     assert list(zip(n.tolist(), m.tolist(), common.tolist(), strict=True)) == expected
