@@ -102,7 +102,7 @@ def _starts_inside(lines: DataFrame, sep: str, quote: str) -> DataFrame:
             columns = list(zip(*((*k, *s) for k, s in found.items()), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file", "block", "if_out", "if_in", "_", "opens"])
 
-    slices = cut_lineage(lines.mapInArrow(ends, "file string, block long, if_out boolean, if_in boolean, _ boolean, opens boolean"))
+    slices = lines.mapInArrow(ends, "file string, block long, if_out boolean, if_in boolean, _ boolean, opens boolean")
     # Chained along a file: a slice that ends the same way from either start sets the state, one that swaps it turns it.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     fixed, swaps = F.col("if_out") == F.col("if_in"), (F.col("if_out") & ~F.col("if_in")).cast("int")
