@@ -96,3 +96,13 @@ def test_email_mask_equals_the_plain_pattern_and_takes_linear_time(spark):
     started = time.time()
     assert long.select(masking.mask_emails(F.col("text"))).first()[0].endswith(" [EMAIL]")
     assert time.time() - started < 20
+
+
+def test_urls_are_looked_for_only_where_one_can_begin(spark):
+    from cautela.functions import urls
+
+    assert urls._URL.startswith("(?=[hHwW])")
+    texts = ["a HTTPS://X.example, wWw.b.example) hhttp://c", "https:/x ww.w.x", "http\u017f://d.example", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.u for r in rows.select(urls.find_urls(F.col("t")).alias("u")).collect()]
+    assert found == [["HTTPS://X.example,", "wWw.b.example)", "http://c"], [], ["http\u017f://d.example"], None, []]
