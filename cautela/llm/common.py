@@ -168,21 +168,29 @@ class WordMemory:
         """Put the words' encodings into ``known``."""
         raise NotImplementedError
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        needed = set().union(*(words for words in cut if words is not None))
+    def fetch(self, words: list[str]) -> list[bytes]:
+        """Encodings of different words."""
         if self.held > self.most:  # words that come again move over from the older generation
             self.older, self.known, self.held = self.known, {}, 0
-        missing, new = [], needed - self.known.keys()
-        for word in new:
-            ids = self.older.get(word)
+        found = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        missing = []
+        for i in new:
+            ids = self.older.get(words[i])
             if ids is None:
-                missing.append(word)
+                missing.append(words[i])
             else:
-                self.known[word] = ids
+                self.known[words[i]] = ids
         self.learn(missing)
-        known = self.known.__getitem__
-        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, map(known, new)))
+        for i in new:
+            found[i] = self.known[words[i]]
+            self.held += ENTRY_BYTES + len(words[i]) + len(found[i])
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        needed = list(set().union(*(words for words in cut if words is not None)))
+        known = dict(zip(needed, self.fetch(needed), strict=True)).__getitem__
         return [
             self.whole(text) if words is None else b"".join(map(known, words)) for text, words in zip(texts, cut, strict=True)
         ]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cautela.llm.common import WordMemory, slices, vocabulary_file
+from cautela.llm.common import SPACE, WordMemory, slices, utf8, vocabulary_file
 from cautela.llm.token_counts import byte_stand_ins
 
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 64 << 20, 1000, 0.01
@@ -33,14 +33,18 @@ PRINTABLE = dict(enumerate(byte_stand_ins()))
 GAP = PRINTABLE[ord(" ")]
 #: Words encoded in one call.
 CALL_WORDS = 2_000
+#: Bytes of ASCII letters, and of ASCII characters that are neither letters nor white space.
+LETTERS = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+OTHERS = ~LETTERS & ~SPACE & (np.arange(256) < 128)
 
 
 class WordEncoder(WordMemory):
     """Encodes texts with the tokenizers library, each different word once.
 
     The pre-tokenizer of byte-level vocabularies always cuts before a single space and around a single line break
-    that stand between other characters. Texts with no other white space and no added token are cut there; the rest go in
-    whole.
+    that stand between other characters, and between a letter (here: an ASCII one) and what is neither a letter nor white
+    space. Texts with no other white space and no added token are cut there; the rest go in whole. Texts are cut, their
+    different pieces found and the ids put together as arrays; Python sees each different piece of a slice once.
     """
 
     def __init__(self, path: str):
@@ -88,16 +92,54 @@ class WordEncoder(WordMemory):
     def whole(self, text: str) -> bytes:
         return self._ids([text])[0]
 
-    def cut(self, text: str) -> list[str] | None:
-        """Words, each with the space before it, and line breaks; None if the text has other white space."""
-        if not text:
-            return []
+    def cuttable(self, text: str) -> bool:
+        """Whether the text has single spaces and line breaks between other characters only, and no added token."""
         flat = text.replace("\n", " ")
         if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":
-            return None  # a space is the only white space that counts as printable
-        if any(token in text for token in self.added):
-            return None
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            return False  # a space is the only white space that counts as printable
+        return not any(token in text for token in self.added)
+
+    def column_ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) one after the other, and how many each text has.
+
+        The words of a text that can be cut, each with the space before it, what follows their letters, and line breaks are
+        pieces; so is any other text as a whole.
+        """
+        data, offsets = utf8(column)
+        if not data.size:
+            return np.empty(0, "<u4"), np.zeros(len(column), np.int64)
+        filled = np.flatnonzero(np.diff(offsets))
+        whole = np.array([i for i in filled if not self.cuttable(column[i].as_py())], np.int64)
+        breaks = data == ord("\n")
+        cut = breaks | (data == ord(" "))
+        cut[1:] |= breaks[:-1] | (LETTERS[data[:-1]] & OTHERS[data[1:]])
+        for i in whole:
+            cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets[filled]] = True
+        starts = np.flatnonzero(cut)
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, data.size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))
+        ).dictionary_encode()
+        of, different = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        apart = set(of[np.searchsorted(starts, offsets[whole])].tolist())
+        if apart:
+            found = iter(self.fetch([w for n, w in enumerate(different) if n not in apart]))
+            encoded = [self.whole(w) if n in apart else next(found) for n, w in enumerate(different)]
+        else:
+            encoded = self.fetch(different)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        store = np.frombuffer(b"".join(encoded), "<u4")
+        begins, counts = np.cumsum(sizes) - sizes, sizes[of]
+        ends = np.cumsum(counts)
+        ids = store[np.repeat(begins[of] - ends + counts, counts) + np.arange(ends[-1])]
+        # Ids before a text are those of the pieces that begin before it.
+        before = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+        return ids, np.diff(before)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.column_ids(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -110,11 +152,10 @@ def encode_ids(df: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
-            found = encoder.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in found])]).astype(np.int32)
-            values = np.frombuffer(b"".join(x + end for x in found), "<u4").astype(np.int32)
+            found, counts = encoder.column_ids(batch.column("text"))
+            values = np.insert(found, np.cumsum(counts), end_id).view(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("doc_id"), ids], ["seq", "doc_id", "ids"])
 
@@ -127,9 +168,8 @@ def encoded_lengths(df: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in slices(batches, "text"):
-            found = encoder.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
-            lengths = pa.array([len(x) // 4 + 1 for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lengths], ["doc_id", "length"])
+            _, counts = encoder.column_ids(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts + 1)], ["doc_id", "length"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, length long")
 

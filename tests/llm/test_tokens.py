@@ -99,6 +99,20 @@ def test_remembered_words_are_bounded_in_bytes(monkeypatch):
     assert small.held < 150_000 and 2 * (len(small.known) + len(small.older)) < len(encoder.known)
 
 
+def test_words_and_their_marks_are_encoded_once_each():
+    import pyarrow as pa
+
+    pick = random.Random(7)
+    parts = ["ab", "don't", "x's,", "fo\"o.)", "(bar)", "a1b2", "é,", "né's", "ab%%%", "'sa", "'", "A-Z", "zé1", "中a.", "a。b"]
+    texts = [pick.choice([" ", "\n"]).join(pick.choices(parts, k=pick.randint(1, 9))) for _ in range(400)]
+    texts += ["", "a  b", " xy", "<|endoftext|>ab"]
+    encoder, tokenizer = WordEncoder(BYTE_BPE), Tokenizer.from_file(vocabulary_file(BYTE_BPE))
+    ids, counts = encoder.column_ids(pa.array([None, *texts])[1:])
+    expected = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+    assert " ab" in encoder.known and "%%%" in encoder.known and not {" ab%%%", "ab%%%", "a  b"} & encoder.known.keys()
+
+
 def test_piece_encoder_equals_the_library():
     import sentencepiece
 
