@@ -56,3 +56,15 @@ def test_squeeze_equals_split_and_join(spark):
     texts = ["a b c", " a  b ", "a\tb", "a \tb\t c", "　x　", "a  b  c", "\n", "", "é  \tf", *(f"a{c}b{c}{c}é{c}" for c in SPACE_CHARS), *(f"a{c}b{c}{c} c{c}" for c in SPACE_CHARS)]
     rows = spark.createDataFrame([(t, " ".join(t.split())) for t in texts], "t string, e string")
     assert rows.filter(squeeze(F.col("t")) != F.col("e")).count() == 0
+
+
+def test_sample_documents_stand_in_one_folder(spark, tmp_path, monkeypatch):
+    from workload import queries
+
+    rows = [(c, t, ("user", "assistant", "system")[t], f"{c % 3} {t}") for c in range(40) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(queries, "_run_folder", lambda spark: f"{tmp_path}/run")
+    found = {(r.risk_band, r.text_md5): r.rows for r in queries.QUERIES["sample_message_files"](spark, str(tmp_path)).collect()}
+    assert found[("high_risk", "missing_text")] == 40 and sorted(found.values()) == [13, 13, 13, 13, 14, 14, 40]
+    documents = list((tmp_path / "run" / "samples").rglob("*.txt"))
+    assert len(documents) == 40 and {p.parent.name for p in documents} == {"samples"}
