@@ -40,6 +40,8 @@ RIDGE = 1e-3
 UNKNOWN = "und"
 #: Texts of a slice whose presence is held at once.
 ROWS = 64
+#: N-grams whose presence is held as numbers at once.
+COLUMNS = 1 << 13
 
 
 @lru_cache(maxsize=1)
@@ -103,7 +105,10 @@ class LanguageModel:
 
 def kernel(found: np.ndarray, sizes: np.ndarray, landmarks: np.ndarray, landmark_sizes: np.ndarray) -> np.ndarray:
     """Normalised presence kernel of texts and landmarks; the sizes count all n-grams, the rows only shared columns."""
-    common = found.astype(np.float32) @ landmarks.astype(np.float32).T
+    common = np.zeros((len(found), len(landmarks)), np.float32)  # whole numbers below 2^24: exact in any order
+    for start in range(0, found.shape[1], COLUMNS):
+        part = slice(start, start + COLUMNS)
+        common += found[:, part].astype(np.float32) @ landmarks[:, part].astype(np.float32).T
     return common / np.maximum(np.sqrt(np.outer(sizes, landmark_sizes)), 1)
 
 
@@ -175,7 +180,9 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", kee
         raise ValueError("The table has a column named like the result: language_id")
     others = [c for c in df.columns if keep_text or c != text]
     row = F.struct(*(F.col(c) for c in others)) if others else F.struct(F.lit(None).alias("none"))
-    packed = df.select(F.col(text).cast("string").alias("_text"), row.alias("_row"))
+    # A text that is among the other columns is handed over once.
+    inside = others.index(text) if text in others and df.schema[text].dataType == T.StringType() else None
+    packed = df.select(row.alias("_row"), *([F.col(text).cast("string").alias("_text")] if inside is None else []))
     schema = T.StructType(
         [packed.schema["_row"], T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType())]
     )
@@ -183,6 +190,8 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handed.value
+        if inside is not None:
+            batches = (pa.RecordBatch.from_arrays([b.column("_row"), b.column("_row").field(inside)], ["_row", "_text"]) for b in batches)
         for batch in slices(batches, "_text"):
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)

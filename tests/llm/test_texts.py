@@ -158,6 +158,19 @@ SCRIPTS = {
 }
 
 
+def test_presence_is_held_as_numbers_in_parts_and_texts_handed_over_once(spark, monkeypatch):
+    pick = np.random.default_rng(5)
+    found, landmarks = pick.random((7, 100)) < 0.5, pick.random((5, 100)) < 0.5
+    whole = language_id.kernel(found, found.sum(axis=1), landmarks, landmarks.sum(axis=1))
+    monkeypatch.setattr(language_id, "COLUMNS", 9)
+    parts = language_id.kernel(found, found.sum(axis=1), landmarks, landmarks.sum(axis=1))
+    assert (whole == parts).all() and whole[2, 3] > 0
+    rows = spark.createDataFrame([("x", 1)], "text string, id long")
+    plan = language_id.identify(rows, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _row" in plan and "AS _text" not in plan
+    assert language_id.identify(rows, None, keep_text=False).first() == (1, ("und", 0.0))
+
+
 def test_languages_of_every_script_are_told_apart(spark):
     pick, rows = random.Random(2), []
     for name, letters in SCRIPTS.items():
