@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cautela.functions.regexes import BOUNDARY, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE_SET
-from cautela.functions.text import squeeze
+from cautela.functions.text import squeeze_once
 
 URL_MASK = "[URL]"
 EMAIL_MASK = "[EMAIL]"
@@ -50,7 +50,7 @@ def sanitise(text: Column) -> Column:
     """
 
     def finish(masked: Column) -> Column:
-        return guard_formula(squeeze(mask_phones_and_accounts(masked)))
+        return guard_formula(squeeze_once(mask_phones_and_accounts(masked)))
 
     no_urls = mask_urls(text)
     return F.when(F.contains(text, F.lit("@")), finish(mask_emails(no_urls))).otherwise(finish(no_urls))
